@@ -114,8 +114,15 @@ def _knapsack(value: np.ndarray, widths: np.ndarray, room: int) -> tuple[float,
     return float(best[room]), pattern
 
 
-def _first_basis(widths: np.ndarray, demand: np.ndarray, room: int) -> np.ndarray:
-    """A triangular basis: the widest bin left is filled up as well as bins left allow, until one is used up."""
+def _enter(inverse: np.ndarray, step: np.ndarray, out: int) -> None:
+    """Update the inverse of a basis in place: the column whose image is ``step`` replaces column ``out``."""
+    inverse[out] /= step[out]
+    others = np.arange(len(step)) != out
+    inverse[others] -= np.outer(step[others], inverse[out])
+
+
+def _first_basis(widths: np.ndarray, demand: np.ndarray, room: int) -> tuple[np.ndarray, np.ndarray]:
+    """A triangular basis and its inverse: the widest bin left is filled up as well as bins left allow, until one is used up."""
     left, columns, done = demand.astype(float).copy(), [], []
     while (live := np.flatnonzero(left > 0)).size:
         value = (widths[live] / room) ** 1.02
@@ -138,9 +145,11 @@ def _first_basis(widths: np.ndarray, demand: np.ndarray, room: int) -> np.ndarra
                 alone[j] = room // widths[j]
                 columns.append(alone)
                 done.append(int(j))
-    basis = np.empty((len(widths), len(widths)))
+    basis, inverse = np.empty((len(widths), len(widths))), np.eye(len(widths))
     basis[:, done] = np.array(columns).T
-    return basis
+    for out, pattern in zip(reversed(done), reversed(columns)):  # each holds bins that were used up later only
+        _enter(inverse, inverse @ pattern, out)
+    return basis, inverse
 
 
 def solve_patterns(widths: np.ndarray, demand: np.ndarray, room: int, gap: float = 1e-3, rounds: int = 4000) -> list[tuple[np.ndarray, float]]:
@@ -152,8 +161,7 @@ def solve_patterns(widths: np.ndarray, demand: np.ndarray, room: int, gap: float
     ``rounds`` pivots; the last basis is feasible in each case.
     """
     m = len(widths)
-    columns = _first_basis(widths, demand, room)
-    inverse = np.linalg.inv(columns)
+    columns, inverse = _first_basis(widths, demand, room)
     use = np.maximum(inverse @ demand, 0)
     centre = widths / room
     bound = float(centre @ demand)
@@ -176,9 +184,7 @@ def solve_patterns(widths: np.ndarray, demand: np.ndarray, room: int, gap: float
         out = int(np.argmin(ratio))
         if not np.isfinite(ratio[out]):
             break
-        inverse[out] /= step[out]
-        others = np.arange(m) != out
-        inverse[others] -= np.outer(step[others], inverse[out])
+        _enter(inverse, step, out)
         columns[:, out] = pattern
         use = np.maximum(inverse @ demand, 0)
     return [(columns[:, j], float(use[j])) for j in range(m) if use[j] > 0]
