@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import packing, positional_index, repetition
+from . import packing, positional_index, repetition, secret_spans, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +28,16 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.drop("items")
 
 
+def op9_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_spans.secret_report(_table(spark, sf_dir, "documents"))
+
+
+def op10_shard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By bytes: limits within 0.5 % of a shard's share, or at the nearest row."""
+    placed = sharding.assign_shards(_table(spark, sf_dir, "documents"), 40)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = [op2_pack_sequences, op7_quality_rules, op8_decontaminate]
+    made = [op2_pack_sequences, op7_quality_rules, op8_decontaminate, op9_secret_spans, op10_shard_documents]
     return {f.__name__: f for f in made}
