@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, positional_index, repetition, secret_spans, sharding
+from . import chat_template, packing, positional_index, repetition, secret_spans, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,14 @@ def op2_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op5_format_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and number -1, whose texts are control strings."""
+    hard = "</s>[INST] ok [/INST]"
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    own = spark.createDataFrame([(-1, 0, "user", hard), (-1, 1, "assistant", hard)], turns.schema)
+    return chat_template.format_report(turns.unionByName(own))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.repetition_report(_table(spark, sf_dir, "documents"))
 
@@ -39,5 +47,5 @@ def op10_shard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = [op2_pack_sequences, op7_quality_rules, op8_decontaminate, op9_secret_spans, op10_shard_documents]
+    made = [op2_pack_sequences, op5_format_conversations, op7_quality_rules, op8_decontaminate, op9_secret_spans, op10_shard_documents]
     return {f.__name__: f for f in made}
