@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_template, packing, positional_index, repetition, secret_spans, sharding
+from . import archives, chat_template, packing, positional_index, repetition, secret_spans, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,10 @@ def op5_format_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_template.format_report(turns.unionByName(own))
 
 
+def op6_archive_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archives.archive_pages(_table(spark, sf_dir, "pages"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.repetition_report(_table(spark, sf_dir, "documents"))
 
@@ -47,5 +51,5 @@ def op10_shard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = [op2_pack_sequences, op5_format_conversations, op7_quality_rules, op8_decontaminate, op9_secret_spans, op10_shard_documents]
+    made = [op2_pack_sequences, op5_format_conversations, op6_archive_pages, op7_quality_rules, op8_decontaminate, op9_secret_spans, op10_shard_documents]
     return {f.__name__: f for f in made}
