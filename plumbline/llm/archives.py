@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import only, raw_texts, shared_path, sliced, written
+from .common import join_spread, only, raw_texts, shared_path, sliced, written
 
 V1 = b"URL IP-address Archive-date Content-type Archive-length"
 V2 = b"URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length"
@@ -282,11 +282,10 @@ def choose_responses(index: DataFrame, least: int = 0) -> DataFrame:
     shared = index.where(F.col("payload_bytes") >= least)
     groups = written(shared.groupBy("payload_digest").agg(F.max(rank).alias("first"), F.count("*").alias("n")), "payload-groups")
     total = index.count()
-    hot = groups.where(F.col("n") * 1000 > total).select("payload_digest", "first")  # under a thousand rows
-    cold = groups.where((F.col("n") > 1) & (F.col("n") * 1000 <= total)).select("payload_digest", F.col("first").alias("cold"))
-    joined = index.join(F.broadcast(hot.withColumnRenamed("first", "hot")), "payload_digest", "left").join(cold, "payload_digest", "left")
-    found = F.when(F.col("payload_bytes") >= least, F.coalesce("hot", "cold"))
-    return joined.withColumn("first", F.when((found["name"] == F.col("name")) & (found["offset"] == F.col("offset")), None).otherwise(found)).drop("hot", "cold")
+    many = groups.where("n > 1").select("payload_digest", F.col("first").alias("found"), "n")
+    joined = join_spread(index, many, "payload_digest", total, "left")
+    found = F.when(F.col("payload_bytes") >= least, F.col("found"))
+    return joined.withColumn("first", F.when((found["name"] == F.col("name")) & (found["offset"] == F.col("offset")), None).otherwise(found)).drop("found")
 
 
 def write_warcs(records: DataFrame, arcs: str, folder: str) -> DataFrame:

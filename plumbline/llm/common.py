@@ -82,3 +82,16 @@ def mix64(x: np.ndarray) -> np.ndarray:
         x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
         return x ^ (x >> np.uint64(31))
+
+
+def join_spread(left: DataFrame, right: DataFrame, key: str, total: int, how: str = "inner") -> DataFrame:
+    """Join rows with the one row of their key where single keys may hold most rows.
+
+    ``right`` is unique by ``key`` and its column ``n`` counts the rows of ``left`` that have the key.
+    Keys with more than a thousandth of all rows, fewer than a thousand by their definition, are
+    broadcast and their rows stay where they are; all other rows meet in a shuffle. ``n`` is dropped.
+    """
+    hot = right.where(F.col("n") * 1000 > total).drop("n")
+    cold = right.where(F.col("n") * 1000 <= total).drop("n")
+    rest = left.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key, how)
+    return left.join(F.broadcast(hot), key).unionByName(rest)

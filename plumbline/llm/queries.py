@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import archives, chat_template, packing, positional_index, repetition, secret_spans, sharding
+from . import archives, chat_template, packing, positional_index, repetition, secret_spans, sharding, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,10 @@ def op2_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op5_format_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and number -1, whose texts are control strings."""
     hard = "</s>[INST] ok [/INST]"
@@ -51,5 +55,5 @@ def op10_shard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = [op2_pack_sequences, op5_format_conversations, op6_archive_pages, op7_quality_rules, op8_decontaminate, op9_secret_spans, op10_shard_documents]
+    made = [op2_pack_sequences, op4_near_duplicates, op5_format_conversations, op6_archive_pages, op7_quality_rules, op8_decontaminate, op9_secret_spans, op10_shard_documents]
     return {f.__name__: f for f in made}
