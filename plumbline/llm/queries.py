@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import archives, chat_template, packing, positional_index, quality, repetition, secret_spans, sharding, simhash
+from . import archives, chat_template, packing, positional_index, quality, repetition, secret_spans, sharding, simhash, suffix_repeats
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op2_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op3_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_repeats.repeated_passages(_table(spark, sf_dir, "documents"))
+
+
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -59,5 +63,5 @@ def op10_shard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = [op1_quality_scores, op2_pack_sequences, op4_near_duplicates, op5_format_conversations, op6_archive_pages, op7_quality_rules, op8_decontaminate, op9_secret_spans, op10_shard_documents]
+    made = [op1_quality_scores, op2_pack_sequences, op3_repeated_passages, op4_near_duplicates, op5_format_conversations, op6_archive_pages, op7_quality_rules, op8_decontaminate, op9_secret_spans, op10_shard_documents]
     return {f.__name__: f for f in made}
