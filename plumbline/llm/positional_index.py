@@ -100,6 +100,10 @@ class Segment:
         which = np.repeat(row, n)
         place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         start = self.postings[np.repeat(self.first[local[row, rare]], n) + place] - rare[which]
+        if slop:  # the rarest term may be out of its place as well
+            moved = np.repeat(start, 2 * slop + 1) + np.tile(np.arange(-slop, slop + 1), len(start))
+            both = np.unique(np.stack([np.repeat(which, 2 * slop + 1), moved]), axis=1)
+            which, start = both[0], both[1]
         width = windows.shape[1]
         inside = (start >= 0) & (start + width <= len(self.term_at))
         which, start = which[inside], start[inside]
