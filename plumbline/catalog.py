@@ -634,9 +634,9 @@ def per_minute(spark, sf):
     return E.per_minute(log(spark, sf))
 
 
-@query("SELECT user_id, after, gap_s FROM (SELECT user_id, lag(ts) OVER w AS after, (epoch_us(ts) - epoch_us(lag(ts) OVER w)) / 1e6 AS gap_s FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)) WHERE gap_s > 864000")
+@query("SELECT user_id, after, gap_s FROM (SELECT user_id, lag(ts) OVER w AS after, (epoch_us(ts) - epoch_us(lag(ts) OVER w)) / 1e6 AS gap_s FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)) WHERE gap_s > 43200")
 def stalls(spark, sf):
-    return E.stalls(log(spark, sf), 864000.0, by="user_id")
+    return E.stalls(log(spark, sf), 43200.0, by="user_id")
 
 
 @query("""SELECT regexp_replace('HTTP ' || (event_id % 3 + 500) || ' after ' || props || ' id deadbeef0123456', '\\b[0-9a-f]{12,}\\b|\\d+(?:\\.\\d+)?', '#', 'g')[1:160] AS kind, count(*) AS n, min(ts) AS first, max(ts) AS last FROM events WHERE event_type = 'error' GROUP BY 1""")
