@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import functools
+import inspect
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -39,3 +41,23 @@ def join_groups(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str
     for k in keys:
         test &= F.col(k).eqNullSafe(F.col(f"__{k}"))
     return left.join(renamed, test, how).drop(*[f"__{k}" for k in keys])
+
+
+def own_group_names(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """Run ``f(df, ..., by=...)`` on copies of the group columns, so that their names clash with no other."""
+    signature = inspect.signature(f)
+
+    @functools.wraps(f)
+    def wrapped(*args, **kwargs) -> DataFrame:
+        call = signature.bind(*args, **kwargs)
+        call.apply_defaults()
+        by = list(call.arguments["by"])
+        own = [f"_by{i}" for i in range(len(by))]
+        if not by or by == own:
+            return f(*args, **kwargs)
+        call.arguments["df"] = call.arguments["df"].withColumns({n: F.col(b) for n, b in zip(own, by)})
+        call.arguments["by"] = own
+        out = f(*call.args, **call.kwargs)
+        return out.select(*[F.col(n).alias(b) for n, b in zip(own, by)], *[F.col(f"`{c}`") for c in out.columns if c not in own])
+
+    return wrapped

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.functions.columns import join_groups, number, ratio, require
+from plumbline.functions.columns import join_groups, number, own_group_names, ratio, require
 
 NORMAL = NormalDist()
 METHODS = ("bca", "percentile")
@@ -39,6 +39,7 @@ def clusters(df: DataFrame, value: str, by: Sequence[str] = (), cluster: str = "
     return rows.groupBy(*by, "cluster").agg(F.count("*").alias("m"), F.avg("v").alias("mean"), (F.var_pop("v") * F.count("*")).alias("ss"))
 
 
+@own_group_names
 def cluster_mean(df: DataFrame, value: str, by: Sequence[str] = (), cluster: str = "cluster") -> DataFrame:
     """The unweighted mean of cluster means, with counts of clusters, rows and rows without a value."""
     point = clusters(df, value, by, cluster).groupBy(*by).agg(F.avg("mean").alias("point"), F.count("*").alias("n_clusters"), F.sum("m").alias("n_rows"))
@@ -48,6 +49,7 @@ def cluster_mean(df: DataFrame, value: str, by: Sequence[str] = (), cluster: str
     return join_groups(lost, point, by, "left").select(*by, "point", F.coalesce("n_clusters", F.lit(0)).alias("n_clusters"), F.coalesce("n_rows", F.lit(0)).alias("n_rows"), "n_excluded")
 
 
+@own_group_names
 def icc1(df: DataFrame, value: str, by: Sequence[str] = (), cluster: str = "cluster") -> DataFrame:
     """One-way random-effects intraclass correlation of unbalanced clusters, clipped at 0."""
     return _icc(clusters(df, value, by, cluster), by)
@@ -72,6 +74,7 @@ def _icc(per: DataFrame, by: Sequence[str]) -> DataFrame:
     return out.withColumn("rho", rho)
 
 
+@own_group_names
 def effective_n(df: DataFrame, value: str, by: Sequence[str] = (), cluster: str = "cluster") -> DataFrame:
     """Design effect and effective sample size; 1 and N where no cluster has two rows."""
     return _effective(_icc(clusters(df, value, by, cluster), by))
@@ -138,6 +141,7 @@ def _by_group(per: DataFrame, by: Sequence[str], run: Callable[[pd.DataFrame], d
 _RESULT = "point double, lo double, hi double, se double"
 
 
+@own_group_names
 def cluster_bootstrap(df: DataFrame, value: str, by: Sequence[str] = (), cluster: str = "cluster", n_boot: int = 10_000, seed: int = 0, alpha: float = 0.05, method: str = "bca", stat: Callable[[np.ndarray], float] | None = None) -> DataFrame:
     """Interval per group for the mean of cluster means, or for ``stat`` of all values.
 
@@ -210,12 +214,14 @@ def paired_difference(df: DataFrame, value: str, condition: str, a, b, by: Seque
     return rows.groupBy(*by, "cluster").agg((mean(a) - mean(b)).alias("mean"), F.count("*").alias("m"))
 
 
+@own_group_names
 def paired_point(df: DataFrame, value: str, condition: str, a, b, by: Sequence[str] = (), cluster: str = "cluster") -> DataFrame:
     d = paired_difference(df, value, condition, a, b, by, cluster)
     both = F.col("mean").isNotNull()
     return d.groupBy(*by).agg(F.avg("mean").alias("point"), F.count_if(both).alias("n_clusters"), F.coalesce(F.sum(F.when(both, F.col("m"))), F.lit(0)).alias("n_rows"), F.count_if(~both).alias("n_unpaired"))
 
 
+@own_group_names
 def paired_bootstrap(df: DataFrame, value: str, condition: str, a, b, by: Sequence[str] = (), cluster: str = "cluster", n_boot: int = 10_000, seed: int = 0, alpha: float = 0.05, method: str = "bca") -> DataFrame:
     """Interval and two-sided p-value of the mean paired difference, with the unpaired clusters counted."""
     _check(method)
@@ -251,6 +257,7 @@ def cell_caveats(k: Column, se: Column, n_rows: Column, n_excluded: Column) -> C
     return F.concat_ws("; ", few_clusters(k), flat, F.when(share > EXCLUDED, lost))
 
 
+@own_group_names
 def summarize(df: DataFrame, value: str, by: Sequence[str], cluster: str = "cluster", n_boot: int = 5_000, seed: int = 0, alpha: float = 0.05, method: str = "bca", label: str | None = None, floor: Mapping[str, float] | None = None, higher_is_better: bool = True, engine: str = "exact") -> DataFrame:
     """One row per group: estimate, interval, honest sample sizes, floors to beat and caveats.
 
