@@ -148,11 +148,12 @@ def parse_verdicts(calls: Column, criteria: Sequence[str]) -> Column:
     ``calls`` is ``[{"name": ..., "arguments": {...}}]``; keys must be the criteria and values booleans.
     """
     parsed = F.from_json(calls, "array<struct<name:string,arguments:string>>")
-    args = F.from_json(parsed[0]["arguments"], "map<string,string>")
-    exact = (F.size(parsed) == 1) & (parsed[0]["name"] == "verdict") & (F.size(args) == len(criteria))
+    call = F.get(parsed, F.lit(0))
+    args = F.from_json(call["arguments"], "map<string,string>")
+    exact = (F.size(parsed) == 1) & (call["name"] == "verdict") & (F.size(args) == len(criteria))
     for c in criteria:
-        exact &= F.coalesce(F.element_at(args, c).isin("true", "false"), F.lit(False))
-    return F.when(exact, F.struct(*[(F.element_at(args, c) == "true").alias(c) for c in criteria]))
+        exact &= F.coalesce(F.try_element_at(args, F.lit(c)).isin("true", "false"), F.lit(False))
+    return F.when(exact, F.struct(*[(F.try_element_at(args, F.lit(c)) == "true").alias(c) for c in criteria]))
 
 
 def calibration_items(df: DataFrame, answer: str = "answer", number_: str = "gold") -> DataFrame:

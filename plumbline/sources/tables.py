@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -16,7 +17,9 @@ def shared_folder(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``; a temporary folder only where it is unset, as in tests."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
-        return named.rstrip("/")
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(named)
+        whole = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(at).toString()
+        return whole.replace("file:/", "file:///", 1) if re.match("file:/[^/]", whole) else whole
     if "at" not in _own:
         _own["at"] = tempfile.mkdtemp(prefix="plumbline-")
         atexit.register(shutil.rmtree, _own["at"], True)

@@ -35,7 +35,8 @@ def per_minute(events: DataFrame, delay: str = "10 minutes") -> DataFrame:
 def sessions(events: DataFrame, stall: str = "300 seconds", delay: str = "10 minutes", by: str | None = None) -> DataFrame:
     """Stretches of activity; a gap of more than ``stall`` parts two of them."""
     keys = [by] if by else []
-    out = events.withWatermark("t", delay).groupBy(*keys, F.session_window("t", stall)).agg(F.count("*").alias("n"), F.min("t").alias("first"), F.max("t").alias("last"))
+    marked = events.withWatermark("t", delay).withColumn("_all", F.lit(1))  # sessions need a key
+    out = marked.groupBy(*(keys or ["_all"]), F.session_window("t", stall)).agg(F.count("*").alias("n"), F.min("t").alias("first"), F.max("t").alias("last"))
     return out.select(*keys, "first", "last", "n")
 
 
