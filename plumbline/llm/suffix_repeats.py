@@ -10,9 +10,10 @@ with its neighbours in that order and in the order of the words before it; up to
 prefix are compared with each other. Matches are extended left and right from the position; one of
 ``least`` words is a repeat. Extension goes as far as the next selected position takes over.
 
-Sorted suffixes are streamed in blocks of bounded size, so one prefix shared by any number of
-documents needs no memory and no pairs. Texts that are equal are one node; with ``least`` words
-they repeat as a whole.
+Sorted suffixes are streamed in blocks of bounded size. A prefix with more than ``hot`` suffixes is
+not sorted in one task: each of its suffixes sends the hashes of the windows of ``least`` words around
+it, which are counted in parts, and windows counted twice are the repeats; this is as exact. Texts
+that are equal are one node; with ``least`` words they repeat as a whole.
 
 Defined results: a null text is empty; texts of fewer than ``least`` words have no repeats; null ids
 and repeated rows are rows of their own; extra columns are ignored; a passage that occurs twice in
@@ -43,6 +44,7 @@ class Repeats:
     k: int = 8
     pairs: int = 32
     block: int = 2048
+    hot: int = 100_000
 
     @property
     def window(self) -> int:
@@ -119,7 +121,10 @@ def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _contexts(repeats: Repeats):
-    """Turns (text, node, positions) into suffixes with the words from ``prefix`` on and those before."""
+    """Turns (text, node, positions) into suffixes with the words from ``prefix`` on and those before.
+
+    A position is hot where its prefix is.
+    """
     right_words, left_words = repeats.least - repeats.prefix, repeats.window - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,10 +132,11 @@ def _contexts(repeats: Repeats):
         for batch in sliced(batches, "text", 1 << 20):
             if len(hashes) > 500_000:
                 hashes = _Hashes()
-            prefixes, nodes, ats, right, left = [], [], [], [], []
-            for text, node, places in zip(raw_texts(batch.column("text")), batch.column("node").to_pylist(), batch.column("at").to_pylist()):
+            prefixes, nodes, ats, hots, right, left = [], [], [], [], [], []
+            for text, node, marked in zip(raw_texts(batch.column("text")), batch.column("node").to_pylist(), batch.column("at").to_pylist()):
                 value = _values(text, hashes)
-                n = len(value)
+                n, places = len(value), [m["at"] for m in marked]
+                hots += [m["hot"] for m in marked]
                 short = (value >> np.uint64(32)).astype(">u4")
                 ahead, back = short.tobytes(), short[::-1].tobytes()
                 prefixes.append(_rolled(value, repeats.prefix)[np.array(places)])
@@ -138,8 +144,26 @@ def _contexts(repeats: Repeats):
                 ats += places
                 right += [ahead[4 * (i + repeats.prefix) : 4 * (i + repeats.prefix + right_words)] for i in places]
                 left += [back[4 * (n - i) : 4 * (n - i + left_words)] for i in places]
-            columns = [pa.array(np.concatenate([*prefixes, np.zeros(0, np.uint64)]).view(np.int64)), pa.array(nodes, pa.int64()), pa.array(ats, pa.int32()), pa.array(right, pa.binary()), pa.array(left, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["prefix", "node", "at", "right", "left"])
+            columns = [pa.array(np.concatenate([*prefixes, np.zeros(0, np.uint64)]).view(np.int64)), pa.array(nodes, pa.int64()), pa.array(ats, pa.int32()), pa.array(hots, pa.bool_()), pa.array(right, pa.binary()), pa.array(left, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["prefix", "node", "at", "hot", "right", "left"])
+
+    return run
+
+
+def _windows(repeats: Repeats):
+    """Hashes of all windows of ``least`` words that hold a suffix's prefix: (window, node, start)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple[int, int, int]] = []
+            for prefix, node, at, right, left in zip(*[batch.column(c).to_pylist() for c in ("prefix", "node", "at", "right", "left")]):
+                middle = prefix.to_bytes(8, "little", signed=True)
+                for s in range(len(left) // 4 + 1):
+                    ahead = 4 * (repeats.least - repeats.prefix - s)
+                    if 0 <= ahead <= len(right):
+                        out.append((xxhash.xxh3_64_intdigest(left[: 4 * s] + b"|" + middle + right[:ahead]) - (1 << 63), node, at - s))
+            columns = list(zip(*out)) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int32())], names=["window", "node", "start"])
 
     return run
 
@@ -234,7 +258,8 @@ def repeated_passages(docs: DataFrame, repeats: Repeats | None = None) -> DataFr
     suffixes = nodes.select("node", "prefixes", "places").mapInArrow(_exploded, "prefix bigint, node bigint, at int")
     shared = written(suffixes.groupBy("prefix").agg(F.count("*").alias("n")), "prefix-counts")
     total = shared.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    kept = join_spread(suffixes, shared.where("n > 1"), "prefix", total).groupBy("node").agg(F.collect_list("at").alias("at"))
+    many = shared.where("n > 1").withColumn("hot", F.col("n") > repeats.hot)
+    kept = join_spread(suffixes, many, "prefix", total).groupBy("node").agg(F.collect_list(F.struct("at", "hot")).alias("at"))
     kept = kept.join(nodes.select("node", "doc_id"), "node").select(F.col("node").alias("__own"), F.col("doc_id").alias("__id"), "at")
 
     def identify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,9 +270,18 @@ def repeated_passages(docs: DataFrame, repeats: Repeats | None = None) -> DataFr
     texts = texts.mapInArrow(identify, T.StructType([*texts.schema, T.StructField("node", T.LongType())]))
     right = kept.hint("shuffle_hash")
     content = texts.join(right, texts["doc_id"].eqNullSafe(right["__id"]) & (texts["node"] == right["__own"])).select("text", "node", "at")
-    carried = content.mapInArrow(_contexts(repeats), "prefix bigint, node bigint, at int, right binary, left binary")
-    ordered = carried.repartition("prefix").sortWithinPartitions("prefix", "right", "left", "node", "at")
+    carried = content.mapInArrow(_contexts(repeats), "prefix bigint, node bigint, at int, hot boolean, right binary, left binary")
+    any_hot = not many.where("hot").isEmpty()
+    if any_hot:
+        carried = written(carried, "suffixes")
+    ordered = carried.where("NOT hot").drop("hot").repartition("prefix").sortWithinPartitions("prefix", "right", "left", "node", "at")
     spans = ordered.mapInArrow(_compare(repeats), "node bigint, start int, end int")
+    if any_hot:
+        windows = carried.where("hot").drop("hot").mapInArrow(_windows(repeats), "window bigint, node bigint, start int").distinct()
+        windows = written(windows, "hot-windows")
+        twice = windows.groupBy("window").agg(F.count("*").alias("n")).where("n > 1")
+        found = join_spread(windows, twice, "window", windows.count()).select("node", "start", (F.col("start") + repeats.least).alias("end"))
+        spans = spans.union(found.distinct())
     merged = spans.groupBy("node").agg(F.collect_list(F.struct("start", "end")).alias("spans")).mapInArrow(_merged, "node bigint, found_words bigint, found string")
     known = nodes.select("node", "n", "n_words").join(merged, "node", "left")
     copied = (F.col("n") > 1) & (F.col("n_words") >= repeats.least)

@@ -46,10 +46,10 @@ def corpus(seed):
     return rows
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_passages(spark, seed):
+@pytest.mark.parametrize(("seed", "hot"), [(1, 100_000), (2, 100_000), (1, 5), (2, 1)])
+def test_passages(spark, seed, hot):
     rows = corpus(seed)
-    got = R.repeated_passages(spark.createDataFrame([(d, t, "z") for d, t in rows], SCHEMA)).collect()
+    got = R.repeated_passages(spark.createDataFrame([(d, t, "z") for d, t in rows], SCHEMA), R.Repeats(hot=hot)).collect()
     assert sorted(((r.doc_id, r.n_words, r.spans) for r in got), key=repr) == brute_force(rows)
     assert all(r.n_repeated == sum(int(b) - int(a) for a, b in (s.split(":") for s in r.spans.split(","))) for r in got)
 
