@@ -7,8 +7,8 @@ of a table share a bucket. Buckets are read in the order of further sampled bits
 a bucket within the Hamming distance are candidates, and the exact Jaccard similarity of their
 shingle sets decides. Links join nodes to classes by star contraction in tables.
 
-Limits of the method: a pair at similarity 0.8 meets in one of the tables with a chance of about
-0.99, one at 0.9 with more than 0.9999; bits added to an oversized bucket lower that chance for the
+Limits of the method: a pair at similarity 0.8 meets in one of the tables with a chance of over
+0.99, one at 0.9 with over 0.9998; bits added to an oversized bucket lower that chance for the
 nodes in it. Among nodes that agree in all bits a table has, each is compared with the one before.
 
 Defined results: a null text is empty; texts without words are near only to equal texts; texts of
@@ -37,9 +37,9 @@ SIG = ("s0", "s1", "s2", "s3")
 
 @dataclass(frozen=True)
 class Tables:
-    """64 tables of 14 bits; each has 48 further bits in store."""
+    """80 tables of 14 bits; each has 48 further bits in store."""
 
-    tables: int = 64
+    tables: int = 80
     bits: int = 14
     more: int = 48
     cap: int = 4096
