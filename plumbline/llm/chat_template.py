@@ -407,7 +407,7 @@ def format_conversations(conversations: DataFrame, template: str = CHAT) -> Data
 
     A formatted conversation is one value, so its length is bounded by a column's, 2 GB.
     """
-    kind = conversations.select("conv_id").schema[0].dataType.simpleString()
+    kind = only(conversations, "conv_id").schema[0].dataType.simpleString()
     fold(parse(template))  # errors show here and not in a task
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -432,7 +432,7 @@ def format_conversations(conversations: DataFrame, template: str = CHAT) -> Data
 
 def format_report(conversations: DataFrame, template: str = CHAT) -> DataFrame:
     """Digests of each conversation, read back from its formatted form as that is produced."""
-    kind = conversations.select("conv_id").schema[0].dataType
+    kind = only(conversations, "conv_id").schema[0].dataType
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

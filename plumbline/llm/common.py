@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import functools
 import re
 import shutil
 import tempfile
@@ -55,8 +56,29 @@ def let(value: Column, body) -> Column:
 
 
 def only(df: DataFrame, *columns: str) -> DataFrame:
-    """The named columns by position of their first match, whatever the letter case of others."""
-    return df.select(*[F.col(f"`{c}`") for c in columns])
+    """The named columns, each the first of exactly that name, else the first in another letter case."""
+    names = df.columns
+    folded = [n.lower() for n in names]
+    at = [names.index(c) if c in names else folded.index(c.lower()) for c in columns]
+    numbered = df.toDF(*[f"c{i}" for i in range(len(names))])
+    return numbered.select(*[F.col(f"c{i}").alias(c) for i, c in zip(at, columns)])
+
+
+def any_names(f):
+    """Run ``f(docs, ...)`` under names that cannot clash; the result has its columns' own names again.
+
+    doc_id, text and n_chars keep their names, all other columns get numbers; columns that ``f`` adds
+    come last and keep theirs.
+    """
+
+    @functools.wraps(f)
+    def wrapped(docs: DataFrame, *args, **kwargs) -> DataFrame:
+        names = docs.columns
+        own = [n if n in ("doc_id", "text", "n_chars") and names.index(n) == i else f"_x{i}" for i, n in enumerate(names)]
+        out = f(docs.toDF(*own), *args, **kwargs)
+        return out.toDF(*names, *out.columns[len(names) :])
+
+    return wrapped
 
 
 def raw_texts(column: pa.Array | pa.ChunkedArray) -> list[bytes | None]:

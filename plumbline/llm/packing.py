@@ -228,7 +228,7 @@ class Packing:
 
 def cut_pieces(docs: DataFrame, tokenizer: str, packing: Packing, slice_bytes: int = 4 << 20) -> DataFrame:
     """Tokenise and cut: one row per piece, with its bin and its number in (partition, bin)."""
-    kind = docs.select("doc_id").schema[0].dataType.simpleString()
+    kind = only(docs, "doc_id").schema[0].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, part = Tokens(tokenizer), TaskContext.get().partitionId()

@@ -26,7 +26,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import only, raw_texts, shared_path, sliced, written
+from .common import any_names, only, raw_texts, shared_path, sliced, written
 
 WINDOW = 10
 #: Lower-case A-Z; everything in ASCII that is neither digit nor letter becomes a space.
@@ -131,7 +131,7 @@ def build_index(docs: DataFrame, segment_bytes: int = 4 << 20) -> DataFrame:
             ids = pa.array([batch.column("doc_id").to_pylist()], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([ids, *[pa.array([x], pa.binary()) for x in row]], names=["doc_ids", "doc_words", "terms", "counts", "gaps"])
 
-    slim = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text"))
+    slim = only(docs, "doc_id", "text").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     return written(slim.mapInArrow(run, INDEX_SCHEMA), "positional-index")
 
 
@@ -259,6 +259,7 @@ def find_matches(docs: DataFrame, items: DataFrame, width: int = WINDOW, slop: i
     return index.mapInArrow(run, "doc_id bigint, item_id string, first_word bigint, width bigint, kind string")
 
 
+@any_names
 def drop_contaminated(docs: DataFrame, items: DataFrame, width: int = WINDOW, segment_bytes: int = 4 << 20, block_bytes: int = 4 << 20) -> DataFrame:
     """The rows of ``docs``, all columns, in which no test window occurs.
 

@@ -143,7 +143,7 @@ def solve(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def document_statistics(docs: DataFrame) -> DataFrame:
     """doc_id and statistics of every row, written once."""
-    kind = docs.select("doc_id").schema[0].dataType.simpleString()
+    kind = only(docs, "doc_id").schema[0].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "text", 8 << 20):
@@ -199,7 +199,7 @@ def fit(stats: DataFrame, labels: DataFrame, settings: Settings | None = None, h
     rng = np.random.default_rng(settings.seed)
     turns = rng.normal(size=(len(NAMES), settings.features)) / settings.width
     model = Model(mean, np.where(spread > 1e-9, spread, 1.0), turns, rng.uniform(0, 2 * np.pi, settings.features), np.zeros(0))
-    known = labels.select(F.col("doc_id").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("doc_id is not null and quality in (0, 1)")
+    known = only(labels, "doc_id", "quality").select("doc_id", F.col("quality").cast("int").alias("quality")).where("doc_id is not null and quality in (0, 1)")
     rows = written(stats.join(known, "doc_id").withColumn("fold", fold_of(F.col("doc_id"))).where(F.col("fold") != held_out), "labelled")
     counts = {(r["fold"] == calibrate, r["quality"]): r["n"] for r in rows.groupBy("fold", "quality").agg(F.count("*").alias("n")).groupBy((F.col("fold") == calibrate).alias("fold"), "quality").agg(F.sum("n").alias("n")).collect()}
     total, ones = sum(counts.values()), sum(n for (_, q), n in counts.items() if q == 1)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, only, raw_texts, sliced
+from .common import any_names, mix64, only, raw_texts, sliced
 
 SPACE = b" \t\n\x0b\x0c\r"
 SYMBOLS = b"#*$%&|<>"
@@ -163,12 +163,13 @@ def repetition_report(docs: DataFrame, limits: Limits | None = None, slice_bytes
     """
     limits = limits or Limits()
     extra = ["dup_line_chars", *[f"dup_{w}gram_chars" for w in sorted({w for w, _ in limits.ngrams} | {BASE_WINDOW})]]
-    kind = docs.select("doc_id").schema[0].dataType.simpleString()
+    kind = only(docs, "doc_id").schema[0].dataType.simpleString()
     longs = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", *extra]
     schema = f"doc_id {kind}, {', '.join(f'{c} bigint' for c in longs)}, base_failed boolean, kept boolean"
     return only(docs, "doc_id", "text").mapInArrow(_report(limits, extra, slice_bytes, most_words), schema)
 
 
+@any_names
 def keep_documents(docs: DataFrame, limits: Limits | None = None, slice_bytes: int = 4 << 20, most_words: int = 500_000) -> DataFrame:
     """The rows of ``docs``, all columns, whose text passes the rules; no shuffle."""
     limits = limits or Limits()

@@ -22,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, only
+from .common import any_names, let, only
 
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"
@@ -151,6 +151,7 @@ def secret_report(docs: DataFrame, linking: Linking | None = None) -> DataFrame:
     return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(_named(base), 256).alias("base_sha256"), _named(F.concat(base, "found.linked")).alias("spans"))
 
 
+@any_names
 def mask_secrets(docs: DataFrame, linking: Linking | None = None) -> DataFrame:
     """``docs`` with every reported span of ``text`` replaced; ``n_chars``, where there, follows."""
     linking = linking or Linking()

@@ -12,7 +12,7 @@ The driver sees at most ``2 ** bits`` counts for each limit that is still open.
 
 Defined results: a null text has no bytes and the checksum of the empty text; null ids and repeated
 rows are rows of their own; an empty table gives no rows; extra columns travel along in
-:func:`shard_documents` and names that clash with the added ones are refused.
+:func:`shard_documents`, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import any_names, only, written
 
 OVERHEAD = 16
 PARTS = ("k0", "k1", "k2")
@@ -138,7 +138,7 @@ def assign_shards(docs: DataFrame, shards: int, tolerance: float = 0.005, rows_p
     Slots number the rows of a shard without gaps: rows are spread over groups by the hash of their
     number, groups get the counts before them, and only a group is ordered in one task.
     """
-    slim = written(keyed(docs).select("doc_id", "size", F.coalesce(F.crc32("text"), F.lit(0)).cast("bigint").alias("text_crc32"), *PARTS), "shard-keys")
+    slim = written(keyed(only(docs, "doc_id", "text")).select("doc_id", "size", F.coalesce(F.crc32("text"), F.lit(0)).cast("bigint").alias("text_crc32"), *PARTS), "shard-keys")
     total = slim.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"), F.count("*").alias("rows")).first()
     limits = find_limits(slim, total["bytes"], shards, tolerance) if total["rows"] else []
     groups = max(1, -(-total["rows"] // (shards * rows_per_group)))
@@ -151,11 +151,9 @@ def assign_shards(docs: DataFrame, shards: int, tolerance: float = 0.005, rows_p
     return placed.withColumn("rank", rank).join(base, ["shard", "part"]).select("doc_id", "size", "text_crc32", "shard", (F.col("base") + F.col("rank")).cast("bigint").alias("slot"))
 
 
+@any_names
 def shard_documents(docs: DataFrame, shards: int, tolerance: float = 0.005) -> DataFrame:
     """All columns of ``docs`` and their shard, moved once so that each shard's rows lie together in key order."""
-    taken = {"size", "shard", *PARTS} & {c.lower() for c in docs.columns}
-    if taken:
-        raise ValueError(f"columns {sorted(taken)} would clash with those that sharding adds")
     full = keyed(docs)
     slim = written(full.select("size", *PARTS), "shard-keys")
     total = slim.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("bytes")).first()["bytes"]

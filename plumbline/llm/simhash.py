@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import join_spread, mix64, only, raw_texts, sliced, written
+from .common import any_names, join_spread, mix64, only, raw_texts, sliced, written
 
 WORDS = 5
 SALTS = np.array([0x9E6C63D0876A9A62, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], dtype=np.uint64)
@@ -94,7 +94,7 @@ def node_of(text: bytes | None) -> int:
 
 def sign_documents(docs: DataFrame, most_words: int = 500_000) -> DataFrame:
     """doc_id, node, number of shingles and signature of every row, written once."""
-    kind = docs.select("doc_id").schema[0].dataType.simpleString()
+    kind = only(docs, "doc_id").schema[0].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Hashes()
@@ -317,6 +317,7 @@ def near_duplicates(docs: DataFrame, tables: Tables | None = None) -> DataFrame:
     return join_spread(signed.select("doc_id", "node"), of_node, "node", signed.count()).select("doc_id", "class_id")
 
 
+@any_names
 def keep_one_of_each(docs: DataFrame, tables: Tables | None = None) -> DataFrame:
     """The rows of ``docs``, all columns: of each class the row with the least id, nulls first."""
     tables = tables or Tables()

@@ -89,7 +89,7 @@ def _node(text: bytes | None) -> int:
 
 def _positions(docs: DataFrame, repeats: Repeats) -> DataFrame:
     """A row per row of ``docs``: node, words, and the kept suffixes' prefix hashes and positions."""
-    kind = docs.select("doc_id").schema[0].dataType.simpleString()
+    kind = only(docs, "doc_id").schema[0].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Hashes()

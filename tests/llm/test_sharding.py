@@ -55,5 +55,5 @@ def test_documents_move_whole(spark):
     out = H.shard_documents(spark.createDataFrame(rows, SCHEMA).repartition(4), 8)
     assert out.columns == ["doc_id", "text", "Extra", "shard"]
     assert Counter((r.doc_id, r.text, r.Extra) for r in out.collect()) == Counter(rows)
-    with pytest.raises(ValueError, match="shard"):
-        H.shard_documents(spark.createDataFrame([(1, "a", 2)], "doc_id bigint, text string, Shard int"), 8)
+    clash = H.shard_documents(spark.createDataFrame([(1, "a", 2, 3)], "doc_id bigint, text string, Size int, k0 int"), 8)
+    assert clash.columns == ["doc_id", "text", "Size", "k0", "shard"] and clash.first()[:4] == (1, "a", 2, 3)
