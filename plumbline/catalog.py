@@ -48,7 +48,7 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(f"`{c}`") for c, t in df.dtypes])
 
 
-# ------------------------------------------------------------ accounting
+# == accounting ==
 
 LABEL_STATUS = "CASE WHEN toxic = 1 AND quality = 0 THEN 'error' WHEN toxic = 1 THEN 'truncated' WHEN quality = 0 THEN 'unparsed' ELSE 'ok' END"
 
@@ -136,7 +136,7 @@ def unit_ids(spark, sf):
     return with_unit_ids(cells.crossJoin(items).withColumn("repeat", F.lit(0)))
 
 
-# ------------------------------------------------------------ statistics
+# == statistics ==
 
 PRICE = ("l_extendedprice", ["l_returnflag"], "l_orderkey")
 
@@ -242,7 +242,7 @@ def ratio_se(spark, sf):
     return per.groupBy("n_regionkey").agg(F.round(F.sum("n") / F.sum("d"), 6).alias("ratio"), F.round(S.ratio_se(F.col("n"), F.col("d")), 4).alias("se"))
 
 
-# ------------------------------------------------------------ judges
+# == judges ==
 
 VERDICTS = """verdicts AS (SELECT d.doc_id AS answer, d.source AS cluster, j.judge, 'quality' AS criterion,
   CASE j.judge WHEN 'length' THEN (n_chars > 1000)::INT WHEN 'lang' THEN (lang = 'en')::INT ELSE (NOT (contains(text, '!!') OR contains(text, '$$')))::INT END::DOUBLE AS verdict, quality::DOUBLE AS reference
@@ -282,7 +282,7 @@ def judge_error_rates(spark, sf):
 
 @query(f"""WITH {RATES}, m AS (SELECT judge, avg(v) AS m FROM (SELECT judge, cluster, avg(verdict) AS v FROM verdicts GROUP BY 1, 2) GROUP BY 1),
 t AS (SELECT judge, m, lam, (m - alpha) / lam AS theta, alpha, se_alpha, beta, se_beta FROM rates JOIN m USING (judge) WHERE lam > 0),
-v AS (SELECT *, sqrt(0.02 * 0.02 + (1 - theta) ** 2 * se_alpha ** 2 + theta ** 2 * se_beta ** 2) / lam AS se FROM t)
+v AS (SELECT *, sqrt(0.0004 + pow((1 - theta) * se_alpha, 2) + pow(theta * se_beta, 2)) / lam AS se FROM t)
 SELECT judge, round(m, 6) AS m, round(lam, 6) AS lam, round(lam * lam, 6) AS attenuation, round(theta, 4) AS theta, round(se, 3) AS se FROM v""")
 def debias(spark, sf):
     rates = V.judge_error_rates(judged(spark, sf)).where("lam > 0")
@@ -315,7 +315,7 @@ def judge_majority(spark, sf):
     return V.majority(some, ["length", "lang", "plain"])
 
 
-# ------------------------------------------------------------ floors
+# == floors ==
 
 FLOORS = """p AS (SELECT lang, count(*) AS n FROM documents GROUP BY 1), t AS (SELECT max(n) AS top, sum(n * n) AS sq, sum(n) AS s, count(*) AS k FROM p),
 f AS (SELECT unnest([{'floor': 'majority', 'value': top / s, 'derived_from': 'label marginal', 'o': 0}, {'floor': 'prior_matched', 'value': sq / s / s, 'derived_from': 'label marginal', 'o': 1}, {'floor': 'uniform', 'value': 1 / k, 'derived_from': 'class count', 'o': 2}, {'floor': 'stated', 'value': 0.55, 'derived_from': 'supplied', 'o': 3}], recursive := true) FROM t)"""
@@ -331,7 +331,7 @@ def headroom(spark, sf):
     return rounded(L.headroom(0.62, L.floors(table(spark, sf, "documents"), "lang", custom={"stated": 0.55})))
 
 
-# ------------------------------------------------------------ retrieval
+# == retrieval ==
 
 BENCH_K = 10
 
@@ -433,7 +433,7 @@ def sampled_retrieval(spark, sf):
     return rounded(Q.sampled_ranking(cosines(spark, sf), 5, 4.0, 5), 4)
 
 
-# ------------------------------------------------------------ graders
+# == graders ==
 
 PUNCT = "'!\"#$%&''()*+,-./:;<=>?@[\\]^_`{|}~'"
 NORM = f"trim(regexp_replace(translate(lower(text), {PUNCT}, ''), '\\s+', ' ', 'g'))"
@@ -508,7 +508,7 @@ def grade_label(spark, sf):
     return g.where("g IS NOT NULL").select("event_id", "g.*")
 
 
-# ------------------------------------------------------------ contamination
+# == contamination ==
 
 WORD_GRAMS = """c AS (SELECT doc_id AS name, list_distinct(list_transform(range(1, greatest(1, len(w) - 6)), lambda i: array_to_string(w[i : i + 7], ' '))) AS g FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents) WHERE len(w) >= 8),
 r AS (SELECT DISTINCT unnest(list_transform(range(1, greatest(1, len(w) - 6)), lambda i: array_to_string(w[i : i + 7], ' '))) AS g FROM (SELECT regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM benchmark) WHERE len(w) >= 8)"""
@@ -535,7 +535,7 @@ def contamination_report(spark, sf):
     return N.contamination_report(words(table(spark, sf, "benchmark"), F.col("item_id").cast("string")), words(docs, F.col("doc_id")), control, (4, 8), 16, text=False)
 
 
-# ------------------------------------------------------------ curves
+# == curves ==
 
 
 @query("""SELECT vec_id, label, (i - 1)::INTEGER AS position, round(embedding[i]::DOUBLE, 6) AS v, embedding[i] > 0 AS positive FROM embeddings, range(1, 65) t(i) WHERE vec_id % 10 = 0""")
@@ -612,7 +612,7 @@ def subsampled_sharpness(spark, sf):
     return C.subsampled_sharpness(token_rows(spark, sf), "x", "ok", [10, 50], 50)
 
 
-# ------------------------------------------------------------ events
+# == events ==
 
 
 def log(spark: SparkSession, sf: str) -> DataFrame:

@@ -17,11 +17,12 @@ from plumbline.functions.text import normalize
 
 GRADERS: dict[str, Callable[..., Column]] = {}
 CUES = (
-    "not mentioned", "no mention", "not in the", "does not contain", "doesn't contain", "no information", "cannot answer", "can't answer",
-    "cannot be determined", "not present", "does not appear", "no evidence", "unknown", "unable to find", "could not find", "couldn't find",
-    "cannot find", "can't find", "not finding", "do not contain", "don't contain",
+    *(f"{verb} {rest}" for rest, verbs in {"answer": ("cannot", "can't"), "find": ("cannot", "can't", "could not", "couldn't", "unable to"), "contain": ("do not", "does not", "doesn't", "don't")}.items() for verb in verbs),
+    *(f"no {what}" for what in ("evidence", "information", "mention")),
+    *(f"not {what}" for what in ("finding", "in the", "mentioned", "present")),
+    "does not appear", "unknown", "cannot be determined",
 )
-NUMBER = r"(-?\d{1,3}(?:,\d{3})+(?!\d)(?:\.\d+)?|-?\d+(?:\.\d+)?|-?\.\d+)"
+NUMBER = "(-?(?:" + "[0-9]{1,3}" + "(?:,[0-9]{3})+" + r"(?![0-9])|\d+)(?:[.]\d+)?" + r"|-?[.]\d+)"
 
 
 def grader(name: str, replace: bool = False):
@@ -70,8 +71,8 @@ def contains(text: Column, gold: Column, many: bool = False, case: bool = False,
 @grader("numeric")
 def numeric(text: Column, gold: Column, tol: float = 0.0, rel: float = 0.0, pick: str = "last") -> Column:
     """The first or last number of the text within max(tol, rel * |gold|)."""
-    if pick not in ("first", "last"):
-        raise ValueError(f"pick is first or last, not {pick!r}")
+    if pick != "first" and pick != "last":
+        raise ValueError(f"{pick!r} is no way to pick: say first or last")
     found = F.regexp_extract_all(text, F.lit(NUMBER), F.lit(1))
     x = F.replace(F.try_element_at(found, F.lit(-1 if pick == "last" else 1)), F.lit(","), F.lit("")).try_cast("double")
     g = gold.cast("double")
@@ -83,10 +84,10 @@ def numeric(text: Column, gold: Column, tol: float = 0.0, rel: float = 0.0, pick
 def choice(text: Column, gold: Column, options: str = "ABCD") -> Column:
     """The letter of the last explicit answer, else the only option letter that stands alone."""
     up, low, any_ = re.escape(options.upper()), re.escape(options.lower()), re.escape(options)
-    said = rf"(?i:answer)\s*(?:is|:)?\s*(?:\(?[{up}]\)?\b|\([{low}]\)|[{low}](?=\s*(?:$|[.,;:!?])))"
+    said = rf"(?i:answer)(?:\s*(?:is|:))?\s*(?:[(]?[{up}][)]?\b|[(][{low}][)]|[{low}](?=\s*(?:[!,.:;?]|$)))"
     last = F.try_element_at(F.regexp_extract_all(text, F.lit(f"({said})"), F.lit(1)), F.lit(-1))
     stated = F.upper(F.regexp_extract(last, rf"([{up}{low}])\)?\s*$", 1))
-    alone = F.array_distinct(F.regexp_extract_all(text, F.lit(rf"(?<![A-Za-z])\(?([{any_}])\)?(?![A-Za-z])"), F.lit(1)))
+    alone = F.array_distinct(F.regexp_extract_all(text, F.lit(rf"(?<![a-zA-Z])[(]?([{any_}])[)]?(?![a-zA-Z])"), F.lit(1)))
     pred = F.when(last.isNotNull(), stated).when(F.size(alone) == 1, alone[0])
     known = F.when(F.upper(gold).isin(*options.upper()), gold).otherwise(F.raise_error(F.lit(f"a gold letter is none of {options}")))
     return _parsed(text, F.struct(_flag(pred == F.upper(known)).alias("correct"), pred.alias("pred")), pred.isNotNull())
@@ -129,7 +130,7 @@ def abstain(text: Column, gold: Column | None = None, cues: Sequence[str] = CUES
 def label(text: Column, gold: Column, options: Sequence[str]) -> Column:
     """Exactly one of the options is named as a whole word, in any case."""
     t = F.lower(text)
-    named = [F.when(t.rlike(rf"(?<![\w]){re.escape(o.lower())}(?![\w])"), F.lit(o)) for o in options]
+    named = [F.when(t.rlike(r"(?<!\w)" + re.escape(o.lower()) + r"(?!\w)"), F.lit(o)) for o in options]
     found = F.array_compact(F.array(*named))
     pred = F.when(F.size(found) == 1, found[0])
     known = F.when(gold.isin(*options), gold).otherwise(F.raise_error(F.lit("a gold label is none of the options")))
@@ -138,8 +139,8 @@ def label(text: Column, gold: Column, options: Sequence[str]) -> Column:
 
 def grade(spec: str | dict, text: Column, gold: Column) -> Column:
     """By a grader's name or ``{"name": ..., options}``; ``"abstain": true`` parts declined from wrong."""
-    options = {} if isinstance(spec, str) else {k: v for k, v in spec.items() if k != "name"}
-    name = spec if isinstance(spec, str) else spec["name"]
+    options = {"name": spec} if isinstance(spec, str) else dict(spec)
+    name = options.pop("name")
     if name not in GRADERS:
         raise KeyError(f"no grader {name!r}; there are {sorted(GRADERS)}")
     split = options.pop("abstain", False)

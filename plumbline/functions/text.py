@@ -17,7 +17,7 @@ def normalize(s: Column, case: bool = False, punct: bool = False) -> Column:
 
 def error_kind(message: Column) -> Column:
     """A message with its numbers and long hexadecimal ids masked, cut to 160."""
-    return F.left(F.regexp_replace(message, r"\b[0-9a-f]{12,}\b|\d+(?:\.\d+)?", "#"), F.lit(160))
+    return F.left(F.regexp_replace(message, r"\b[a-f0-9]{12,}\b|[0-9]+(?:[.][0-9]+)?", "#"), F.lit(160))
 
 
 def thousands(n: Column) -> Column:

@@ -126,19 +126,18 @@ def composition_points(df: DataFrame, x: str, ok: str, by: Sequence[str] = (), i
     return out.select(*k, "n", "p", "A_obs", "A_pred", "A_pred_lc", (c("A_obs") - c("A_pred")).alias("phi"), (c("A_obs") - c("A_pred_lc")).alias("phi_lc"))
 
 
-# ------------------------------------------------------------ replicates
+# == replicates ==
 
 
-def draw_weights(rng: np.random.Generator, k: int, n: int, m: int | None = None) -> np.ndarray:
-    """(n, k) weights of clusters: multinomial counts, or m of them without replacement."""
-    if m is None:
-        return rng.multinomial(k, np.full(k, 1.0 / k), size=n).astype(float)
-    if not 1 <= m <= k:
-        raise ValueError(f"a subsample of {m} is not possible with {k} clusters")
-    order = np.argsort(rng.random((n, k)), axis=1)[:, :m]
-    w = np.zeros((n, k))
-    np.put_along_axis(w, order, 1.0, axis=1)
-    return w
+def draw_weights(rng: np.random.Generator, clusters: int, draws: int, take: int | None = None) -> np.ndarray:
+    """A row of cluster weights per draw: how often each is drawn, or 1 for ``take`` of them and else 0."""
+    if take is None:
+        even = np.full(clusters, 1.0 / clusters)
+        return rng.multinomial(clusters, even, size=draws) * 1.0
+    if take < 1 or take > clusters:
+        raise ValueError(f"a subsample of {take} is not possible with {clusters} clusters")
+    rank = np.argsort(np.argsort(rng.random((draws, clusters)), axis=1), axis=1)
+    return np.where(rank < take, 1.0, 0.0)
 
 
 def gradient(x: np.ndarray, y: np.ndarray, log_x: bool) -> np.ndarray:
@@ -162,8 +161,8 @@ def first_crossing(x: np.ndarray, y: np.ndarray, level: float, log_x: bool) -> n
 
 
 def _peaks(x: np.ndarray, chi: np.ndarray) -> dict[str, np.ndarray]:
-    i = np.argmax(chi, axis=1)
-    return {"peak_x": x[i], "peak_at_edge": ((i == 0) | (i == len(x) - 1)).astype(float), "peak_chi": chi[np.arange(len(chi)), i]}
+    top = chi.argmax(axis=1)
+    return {"peak_chi": chi.max(axis=1), "peak_x": x[top], "peak_at_edge": np.isin(top, (0, len(x) - 1)) * 1.0}
 
 
 def _long(x: np.ndarray, point: dict, reps: dict, alpha: float) -> pd.DataFrame:
@@ -234,17 +233,17 @@ def composition(w: np.ndarray, ok: np.ndarray, valid: np.ndarray, n: np.ndarray)
     obs = (w @ every) / total
 
     def marginal(v: np.ndarray) -> np.ndarray:
-        with np.errstate(invalid="ignore", divide="ignore"):
-            return np.where(v @ valid > 0, (v @ hits) / (v @ valid), np.nan)
+        seen = v @ valid
+        return np.divide(v @ hits, seen, out=np.full(seen.shape, np.nan), where=seen > 0)
 
-    run = np.concatenate([np.ones((len(w), 1)), np.cumprod(marginal(w), axis=1)], axis=1)
+    run = np.pad(np.cumprod(marginal(w), axis=1), ((0, 0), (1, 0)), constant_values=1.0)
     pred = np.where(w > 0, w * run[:, n], 0.0).sum(axis=1) / total
     by_length, out = np.zeros(len(w)), {}
     for length in np.unique(n):
         own = w * (n == length)
         size = own.sum(axis=1)
-        with np.errstate(invalid="ignore", divide="ignore"):
-            product, right = np.prod(marginal(own)[:, :length], axis=1), (own @ every) / size
+        product = np.prod(marginal(own)[:, :length], axis=1)
+        right = np.divide(own @ every, size, out=np.full(size.shape, np.nan), where=size > 0)
         by_length += np.where(size > 0, size / total * product, 0.0)
         out[f"phi_l{length}"] = np.where(size > 0, right - product, np.nan)
     p = (w @ hits).sum(axis=1) / (w @ valid.astype(float)).sum(axis=1)
@@ -262,7 +261,7 @@ def _matrices(pdf: pd.DataFrame):
         n = g["ok"].map(len).to_numpy(int)
         ok = np.zeros((len(items), n.max()))
         for i, seq in enumerate(g["ok"]):
-            ok[i, : len(seq)] = np.asarray(seq, float)
+            ok[i, : n[i]] = seq
         parts.append((ok, np.arange(n.max())[None, :] < n[:, None], n))
     return xs, codes, parts
 
@@ -275,8 +274,7 @@ def axis_curves(df: DataFrame, x: str, ok: str, by: Sequence[str] = (), item: st
         points = [composition(w, *p) for p in parts]
         empty = np.full(len(w), np.nan)
         out = {q: np.stack([p.get(q, empty) for p in points], axis=1) for q in sorted(set().union(*points))}
-        for a, c in (("A_obs", "chi_obs"), ("A_pred", "chi_pred"), ("A_pred_lc", "chi_pred_lc")):
-            out[c] = gradient(xs, out[a], log_x)
+        out |= {f"chi_{kind}": gradient(xs, out[f"A_{kind}"], log_x) for kind in ("obs", "pred", "pred_lc")}
         i, row = np.argmax(out["chi_obs"], axis=1), np.arange(len(w))
         gaps = {"peak_chi_gap": out["chi_obs"][row, i] - out["chi_pred"][row, i], "peak_chi_gap_lc": out["chi_obs"][row, i] - out["chi_pred_lc"][row, i]}
         return {**out, **_peaks(xs, out["chi_obs"]), **gaps}

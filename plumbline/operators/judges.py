@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.columns import number, ratio, require
-from plumbline.operators.statistics import NORMAL, cluster_bootstrap, mcnemar, ratio_se
+from plumbline.operators.statistics import DRAWS, NORMAL, cluster_bootstrap, mcnemar, ratio_se
 
 KEYS = ("answer", "criterion")
 
@@ -54,13 +54,13 @@ def debias(df: DataFrame, m: str = "m", se_m: str = "se_m", ci: float = 0.95) ->
     c, z = F.col, NORMAL.inv_cdf(0.5 + ci / 2)
     lam = 1 - c("alpha") - c("beta")
     theta = (c(m) - c("alpha")) / c("_lam")
-    var = (c(se_m) ** 2 + (1 - c("theta")) ** 2 * c("se_alpha") ** 2 + c("theta") ** 2 * c("se_beta") ** 2) / c("_lam") ** 2
+    var = (F.pow(c(se_m), 2) + F.pow((1 - c("theta")) * c("se_alpha"), 2) + F.pow(c("theta") * c("se_beta"), 2)) / c("_lam") ** 2
     out = df.withColumn("_lam", require(lam > 0, "the judge does not discriminate: lambda is not positive", lam)).withColumn("theta", theta)
     out = out.withColumn("se", F.sqrt(var)).withColumn("lo", c("theta") - z * c("se")).withColumn("hi", c("theta") + z * c("se"))
     return out.withColumn("lam", c("_lam")).withColumn("attenuation", c("_lam") ** 2).drop("_lam")
 
 
-def debiased_mean(df: DataFrame, rates: DataFrame, calibration: DataFrame, verdict: str = "verdict", cluster: str = "cluster", n_boot: int = 10_000, seed: int = 0) -> DataFrame:
+def debiased_mean(df: DataFrame, rates: DataFrame, calibration: DataFrame, verdict: str = "verdict", cluster: str = "cluster", n_boot: int = DRAWS, seed: int = 0) -> DataFrame:
     """Debiased pass rate of each judge and criterion of ``rates``; shared clusters are refused."""
     shared = df.select(cluster).join(calibration.select(cluster).distinct(), cluster, "left_semi").limit(1)
     if not shared.isEmpty():
@@ -119,7 +119,8 @@ def panel(pairs: DataFrame) -> DataFrame:
 
 def majority(df: DataFrame, judges: Sequence[str], verdict: str = "verdict") -> DataFrame:
     """The verdict of an odd panel per answer and criterion, NULL and ``incomplete`` if a judge is missing."""
-    if len(judges) % 2 == 0 or len(set(judges)) != len(judges):
+    different = set(judges)
+    if len(different) < len(judges) or not len(judges) % 2:
         raise ValueError(f"a majority needs an odd number of different judges, not {list(judges)}")
     v = number(verdict)
     value = require(v.isNull() | v.isin(0.0, 1.0), f"{verdict} must be 0 or 1", v)
@@ -165,7 +166,8 @@ def calibration_items(df: DataFrame, answer: str = "answer", number_: str = "gol
             for _, r in pdf.iterrows():
                 g = int(r[number_])
                 s = str(g)
-                swapped = next((s[:i] + s[i + 1] + s[i] + s[i + 2 :] for i in range(len(s) - 1) if s[i] != s[i + 1] and (i or s[1] != "0")), None)
+                pairs = enumerate(zip(s, s[1:]))
+                swapped = next((f"{s[:i]}{b}{a}{s[i + 2:]}" for i, (a, b) in pairs if a != b and (i or b != "0")), None)
                 made = [("plain", s, 1.0), ("separated", f"{g:,}", 1.0), ("off_by_one", str(g + 1), 0.0)] + ([("swapped", swapped, 0.0)] if swapped else [])
                 out += [(r[answer], name, text, label) for name, text, label in made]
             yield pd.DataFrame(out, columns=["answer", "variant", "text", "reference"])

@@ -29,7 +29,7 @@ def top(scores: DataFrame, k: int, by: str = "score") -> DataFrame:
     return scores.withColumn("pos", F.row_number().over(order)).where(F.col("pos") <= k)
 
 
-# ------------------------------------------------------------ BM25
+# == BM25 ==
 
 
 def bm25_index(docs: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
@@ -65,7 +65,7 @@ def bm25_score_all(index: DataFrame, queries: DataFrame, docs: DataFrame) -> Dat
     return pairs.join(bm25_scores(index, queries), ["query", "doc_id"], "left").select("query", "doc_id", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
-# ------------------------------------------------------------ dense
+# == dense ==
 
 
 def _blocks(queries: DataFrame, block: int) -> Iterator[tuple[list, np.ndarray]]:
@@ -80,7 +80,7 @@ def _blocks(queries: DataFrame, block: int) -> Iterator[tuple[list, np.ndarray]]
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
-    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    return x / np.clip(np.sqrt(np.square(x).sum(axis=1)), 1e-12, None)[:, None]
 
 
 def dense_search(docs: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", block: int = 1024) -> DataFrame:
@@ -195,7 +195,7 @@ def embed_distinct(texts: DataFrame, embed: Callable[[list[str]], np.ndarray], c
     return made if cache is None else made.unionByName(cache.join(wanted, ["role", "text"], "left_semi").select("role", "text", "vector"))
 
 
-# ------------------------------------------------------------ controls, sampling, reranking
+# == controls, sampling, reranking ==
 
 
 def gold_control(scores: DataFrame, gold: DataFrame, mode: str, k: int) -> DataFrame:
@@ -252,7 +252,7 @@ def rerank(first: DataFrame, score: Column, k: int, depth: int) -> DataFrame:
     return scored.withColumn("pos", F.row_number().over(order)).where(F.col("pos") <= k).select("query", "pos", "doc_id", F.col("_new").alias("score"))
 
 
-# ------------------------------------------------------------ metrics
+# == metrics ==
 
 
 def rank_metrics(ranked: DataFrame, gold: DataFrame, ks: Sequence[int] = (1, 5, 10)) -> DataFrame:

@@ -23,9 +23,10 @@ METHODS = ("bca", "percentile")
 COVERAGE = {3: 73, 5: 84, 10: 90, 20: 92, 30: 94}
 FEW, EXCLUDED = 20, 0.10
 DRAW_CELLS = 1 << 24
+DRAWS, ALPHA = 10_000, 0.05
 
 
-# ------------------------------------------------------------ clusters
+# == clusters ==
 
 
 def clusters(df: DataFrame, value: str, by: Sequence[str] = (), cluster: str = "cluster") -> DataFrame:
@@ -87,26 +88,28 @@ def _effective(icc: DataFrame) -> DataFrame:
     return icc.withColumn("rho", F.when(~alone, c("rho"))).withColumn("deff", deff).withColumn("n_eff", c("N") / deff)
 
 
-# ------------------------------------------------------------ resampling
+# == resampling ==
 
 
-def bca_bounds(theta: float, reps: np.ndarray, jack: np.ndarray, alpha: float) -> tuple[float, float]:
+def tails(alpha: float) -> tuple[float, float]:
+    return alpha / 2, 1 - alpha / 2
+
+
+def bca_bounds(estimate: float, draws: np.ndarray, left_out: np.ndarray, alpha: float) -> tuple[float, float]:
     """Bias-corrected and accelerated bounds; replicates equal to the estimate count half."""
-    n = reps.size
-    tie = np.abs(reps - theta) <= 1e-12 * max(1.0, abs(theta)) + 1e-12 * abs(theta)
-    below = min(max(float(np.mean((reps < theta) & ~tie) + 0.5 * np.mean(tie)), 1 / (2 * n)), 1 - 1 / (2 * n))
-    z0, d = NORMAL.inv_cdf(below), jack.mean() - jack
-    scale = 6.0 * np.sum(d**2) ** 1.5
-    a = 0.0 if scale == 0 else float(np.sum(d**3) / scale)
-    at = []
-    for q in (alpha / 2, 1 - alpha / 2):
-        s = z0 + NORMAL.inv_cdf(q)
-        at.append(min(max(NORMAL.cdf(z0 + s / (1 - a * s)), 0.0), 1.0))
-    lo, hi = np.quantile(reps, at)
+    n, near = draws.size, 1e-12 * (max(1.0, abs(estimate)) + abs(estimate))
+    gap = draws - estimate
+    equal = np.count_nonzero(np.abs(gap) <= near)
+    share = (np.count_nonzero(gap < -near) + equal / 2) / n
+    bias, d = NORMAL.inv_cdf(float(np.clip(share, 0.5 / n, 1 - 0.5 / n))), left_out.mean() - left_out
+    spread = 6.0 * np.sum(d * d) ** 1.5
+    skew = float(np.sum(d * d * d)) / spread if spread else 0.0
+    shifted = [bias + NORMAL.inv_cdf(q) for q in tails(alpha)]
+    lo, hi = np.quantile(draws, [NORMAL.cdf(bias + s / (1 - skew * s)) for s in shifted])
     return float(lo), float(hi)
 
 
-def mean_replicates(x: np.ndarray, n_boot: int, seed: int) -> tuple[float, np.ndarray, np.ndarray]:
+def mean_replicates(x: np.ndarray, n_boot: int, seed: int):
     """Mean, bootstrap means and leave-one-out means of one value per cluster, in chunks of draws."""
     k, rng = x.size, np.random.default_rng(seed)
     step = max(1, DRAW_CELLS // k)
@@ -114,9 +117,9 @@ def mean_replicates(x: np.ndarray, n_boot: int, seed: int) -> tuple[float, np.nd
     return float(x.mean()), reps, (x.sum() - x) / (k - 1)
 
 
-def interval(theta: float, reps: np.ndarray, jack: np.ndarray, alpha: float, method: str) -> dict[str, float]:
-    lo, hi = bca_bounds(theta, reps, jack, alpha) if method == "bca" else map(float, np.quantile(reps, [alpha / 2, 1 - alpha / 2]))
-    return {"point": theta, "lo": lo, "hi": hi, "se": float(reps.std(ddof=1))}
+def interval(estimate: float, draws: np.ndarray, left_out: np.ndarray, alpha: float, method: str) -> dict[str, float]:
+    lo, hi = bca_bounds(estimate, draws, left_out, alpha) if method == "bca" else map(float, np.quantile(draws, tails(alpha)))
+    return {"point": estimate, "lo": lo, "hi": hi, "se": float(draws.std(ddof=1))}
 
 
 def _check(method: str, engine: str = "exact") -> None:
@@ -142,7 +145,7 @@ _RESULT = "point double, lo double, hi double, se double"
 
 
 @own_group_names
-def cluster_bootstrap(df: DataFrame, value: str, by: Sequence[str] = (), cluster: str = "cluster", n_boot: int = 10_000, seed: int = 0, alpha: float = 0.05, method: str = "bca", stat: Callable[[np.ndarray], float] | None = None) -> DataFrame:
+def cluster_bootstrap(df: DataFrame, value: str, by: Sequence[str] = (), cluster: str = "cluster", n_boot: int = DRAWS, seed: int = 0, alpha: float = ALPHA, method: str = "bca", stat: Callable[[np.ndarray], float] | None = None) -> DataFrame:
     """Interval per group for the mean of cluster means, or for ``stat`` of all values.
 
     Groups of fewer than two clusters are an error. ``stat`` sees all values of the drawn clusters,
@@ -222,7 +225,7 @@ def paired_point(df: DataFrame, value: str, condition: str, a, b, by: Sequence[s
 
 
 @own_group_names
-def paired_bootstrap(df: DataFrame, value: str, condition: str, a, b, by: Sequence[str] = (), cluster: str = "cluster", n_boot: int = 10_000, seed: int = 0, alpha: float = 0.05, method: str = "bca") -> DataFrame:
+def paired_bootstrap(df: DataFrame, value: str, condition: str, a, b, by: Sequence[str] = (), cluster: str = "cluster", n_boot: int = DRAWS, seed: int = 0, alpha: float = ALPHA, method: str = "bca") -> DataFrame:
     """Interval and two-sided p-value of the mean paired difference, with the unpaired clusters counted."""
     _check(method)
 
@@ -232,13 +235,13 @@ def paired_bootstrap(df: DataFrame, value: str, condition: str, a, b, by: Sequen
         if x.size < 2:
             raise ValueError("a paired interval needs two clusters that both conditions saw")
         theta, reps, jack = mean_replicates(x, n_boot, seed)
-        p = 2 * min(float(np.mean(reps <= 0)), float(np.mean(reps >= 0)))
+        p = 2 * min(np.count_nonzero(reps <= 0), np.count_nonzero(reps >= 0)) / reps.size
         return interval(theta, reps, jack, alpha, method) | {"n_clusters": x.size, "n_rows": int(own["m"].sum()), "n_unpaired": len(pdf) - x.size, "p": min(1.0, max(p, 1 / reps.size))}
 
     return _by_group(paired_difference(df, value, condition, a, b, by, cluster), by, run, f"{_RESULT}, n_clusters bigint, n_rows bigint, n_unpaired bigint, p double")
 
 
-# ------------------------------------------------------------ summary
+# == summary ==
 
 
 def few_clusters(k: Column) -> Column:
@@ -258,7 +261,7 @@ def cell_caveats(k: Column, se: Column, n_rows: Column, n_excluded: Column) -> C
 
 
 @own_group_names
-def summarize(df: DataFrame, value: str, by: Sequence[str], cluster: str = "cluster", n_boot: int = 5_000, seed: int = 0, alpha: float = 0.05, method: str = "bca", label: str | None = None, floor: Mapping[str, float] | None = None, higher_is_better: bool = True, engine: str = "exact") -> DataFrame:
+def summarize(df: DataFrame, value: str, by: Sequence[str], cluster: str = "cluster", n_boot: int = DRAWS // 2, seed: int = 0, alpha: float = ALPHA, method: str = "bca", label: str | None = None, floor: Mapping[str, float] | None = None, higher_is_better: bool = True, engine: str = "exact") -> DataFrame:
     """One row per group: estimate, interval, honest sample sizes, floors to beat and caveats.
 
     A group with fewer than two clusters gets the mean of its rows and no interval. ``label`` adds
@@ -301,7 +304,7 @@ def summarize(df: DataFrame, value: str, by: Sequence[str], cluster: str = "clus
     return out.withColumn("caveats", cell_caveats(c("n_clusters"), c("se"), c("n_rows"), c("n_excluded")))
 
 
-# ------------------------------------------------------------ closed forms
+# == closed forms ==
 
 
 def wilson(k: Column, n: Column, alpha: float = 0.05) -> tuple[Column, Column]:

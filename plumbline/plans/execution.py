@@ -79,7 +79,7 @@ class Function:
         return out
 
 
-def with_retries(call: Callable[[], list[dict]], n: int, attempts: int = 5, base: float = 1.0, cap: float = 60.0, sleep=time.sleep, rng: random.Random | None = None) -> list[dict]:
+def with_retries(call: Callable[[], list[dict]], n: int, attempts: int = 5, sleep=time.sleep, base: float = 1.0, cap: float = 60.0, rng: random.Random | None = None) -> list[dict]:
     """Full jitter between tries; a wait the server asks for, up to 300 s, is kept to."""
     rng = rng or random.Random()
     for k in range(attempts):
@@ -88,7 +88,7 @@ def with_retries(call: Callable[[], list[dict]], n: int, attempts: int = 5, base
         except Transient as e:
             if k == attempts - 1:
                 return [{"error": f"Transient: {e}"}] * n
-            sleep(min(300.0, e.wait) if e.wait is not None else rng.uniform(0, min(cap, base * 2**k)))
+            sleep(min(300.0, e.wait) if e.wait is not None else rng.random() * min(cap, base * (1 << k)))
         except Fatal as e:
             return [{"error": f"Fatal: {e}"}] * n
     return [{"error": "no attempt was made"}] * n
@@ -261,13 +261,13 @@ def calibrate(backend: Backend, requests: list[dict], sizes: Sequence[int] = (1,
         cal.throughput[b] = rate
         cal.n_ok += sum(not a.get("error") for a in answers)
         cal.errors += [a["error"] for a in answers if a.get("error")]
-        if rate < 1.1 * best:
+        if rate * 10 < best * 11:
             break
-        best = max(best, rate)
+        best = rate if rate > best else best
     return cal
 
 
-def derive(cal: Calibration, max_workers: int = 16, safety: float = 0.8) -> dict[str, Any]:
+def derive(cal: Calibration, safety: float = 0.8, max_workers: int = 16) -> dict[str, Any]:
     """Workers and batch size that stay under per-minute limits: W <= safety * R * L / 60."""
     caveats = [f"{len(cal.errors)} calibration calls failed"] if cal.errors else []
     if cal.throughput:

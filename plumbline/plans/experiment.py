@@ -43,8 +43,8 @@ def register(kind: str, name: str, replace: bool = False):
 
 def build(kind: str, spec: str | dict, **context: Any) -> Any:
     """Make a component from its name or ``{"name": ..., arguments}``."""
-    args = {} if isinstance(spec, str) else {k: v for k, v in spec.items() if k != "name"}
-    name = spec if isinstance(spec, str) else spec.get("name")
+    args = {"name": spec} if isinstance(spec, str) else dict(spec)
+    name = args.pop("name", None)
     known = REGISTRY.get(kind, {})
     if name not in known:
         raise ConfigError(f"no {kind} {name!r}; there are {sorted(known)}")

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 ITEM = "id string, prompt string, gold string, grader string, target string, gold_docs array<string>, cluster string, `group` string, meta string"
 
 
-# ------------------------------------------------------------ sums
+# == sums ==
 
 
 def _triple(rng: random.Random, low: int, high: int, op: str) -> tuple[int, int, int]:
@@ -27,7 +27,7 @@ def _triple(rng: random.Random, low: int, high: int, op: str) -> tuple[int, int,
     return a, b, a + b if op == "+" else a - b if op == "-" else a * b
 
 
-def sums(digits: int = 2, n_items: int = 1024, n_shots: int = 4, op: str = "+", seed: int = 0, spaced: bool = False, exclude_leaks: bool = True) -> Iterator[dict]:
+def sums(op: str = "+", digits: int = 2, seed: int = 0, n_items: int = 1024, n_shots: int = 4, exclude_leaks: bool = True, spaced: bool = False) -> Iterator[dict]:
     """Few-shot sums; questions differ while there are enough, and no shot shows the answer unless allowed."""
     if op not in "+-*" or len(op) != 1:
         raise ValueError(f"op is +, - or *, not {op!r}")
@@ -45,7 +45,7 @@ def sums(digits: int = 2, n_items: int = 1024, n_shots: int = 4, op: str = "+",
             while gives_away(shots[k]):
                 shots[k] = _triple(rng, low, high, op)
         prompt = "".join(f"{x} {op} {y} = {shown(z)}\n" for x, y, z in shots) + f"{a} {op} {b} ="
-        meta = {"a": a, "b": b, "answer": c, "op": op, "digits": digits, "n_shots": n_shots, "spaced": spaced, "leak": any(map(gives_away, shots))}
+        meta = dict(a=a, b=b, answer=c, op=op, leak=any(map(gives_away, shots)), digits=digits, n_shots=n_shots, spaced=spaced)
         yield {"id": f"{op}d{digits}s{n_shots}-{seed}-{made:05d}", "prompt": prompt, "gold": shown(c), "grader": "exact", "target": f" {shown(c)}", "meta": meta}
         made += 1
 
@@ -60,9 +60,10 @@ def leak_rate(items: DataFrame) -> DataFrame:
     return items.agg(F.avg((F.get_json_object("meta", "$.leak") == "true").cast("double")).alias("leak_rate"))
 
 
-# ------------------------------------------------------------ traces
+# == traces ==
 
 OPERATIONS = ("fetch_page", "parse_html", "load_table", "train_step", "write_file", "send_mail", "compress", "index_rows")
+LENGTH = (2.9, 1.1)
 ATTRIBUTES = ("rows", "bytes", "retries_left", "shard")
 SPAN = "trace string, id string, name string, parent string, start_ms int, end_ms int, status string, attempt int, attrs map<string,int>"
 
@@ -84,7 +85,7 @@ def _trace(name: str, seed: str, n_spans: int, depth: int, p_error: float, p_ret
             if child["status"] == "error" and len(spans) < n_spans and rng.random() < p_retry:
                 clock = grow(child["name"], span["id"], clock, level + 1, child["attempt"] + 1)["end"] + rng.randint(1, 5)
         if not children:
-            clock += max(1, int(rng.lognormvariate(3.0, 1.0)))
+            clock += 1 + int(rng.lognormvariate(*LENGTH))
             if level and rng.random() < p_error:
                 span["status"] = "error"
         span["end"] = clock
@@ -97,7 +98,7 @@ def _trace(name: str, seed: str, n_spans: int, depth: int, p_error: float, p_ret
     return [(name, s["id"], s["name"], s["parent"], s["start"], s["end"], s["status"], s["attempt"], s["attrs"]) for s in spans]
 
 
-def traces(spark: SparkSession, n_traces: int, seed: int = 0, n_spans: int = 20, depth: int = 3, p_error: float = 0.15, p_retry: float = 0.6) -> DataFrame:
+def traces(spark: SparkSession, n_traces: int, seed: int = 0, n_spans: int = 20, p_retry: float = 0.6, p_error: float = 0.15, depth: int = 3) -> DataFrame:
     """Spans of ``n_traces`` traces; every trace has a seed of its own, so tasks make them apart."""
 
     def run(batches):
@@ -177,7 +178,7 @@ def trace_questions(spans: DataFrame) -> DataFrame:
     return made
 
 
-# ------------------------------------------------------------ a small world
+# == a small world ==
 
 
 def _word(rng: random.Random) -> str:

@@ -12,7 +12,7 @@ from plumbline.functions.columns import require
 from plumbline.operators.accounting import first_rows
 from plumbline.plans.identity import cell_id, with_unit_ids
 
-RESERVED = ("unit_id", "cell_id", "item_id", "cluster", "group", "repeat", "text", "error", "cached", "request_key", "score_version", "batch_size", "status", "parse_error", "seq", "plan_seq")
+RESERVED = tuple("batch_size cached cell_id cluster error group item_id parse_error plan_seq repeat request_key score_version seq status text unit_id".split())
 
 
 def grid_of(spark: SparkSession, axes: Mapping[str, Sequence], exclude: Sequence[Mapping] = (), tags: Mapping[str, str] | None = None) -> DataFrame:

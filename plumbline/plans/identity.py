@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-DECODE = ("temperature", "top_p", "top_k", "max_tokens", "stop_sequences", "repetition_penalty")
+DECODE = ("max_tokens", "repetition_penalty", "stop_sequences", "temperature", "top_k", "top_p")
 
 
 def _other(value: Any) -> Any:

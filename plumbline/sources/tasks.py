@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.text import json_path
 
-FIELDS = ("id", "prompt", "messages", "gold", "grader", "target", "gold_docs", "cluster", "group", "meta")
+FIELDS = ("id", "cluster", "group", "messages", "prompt", "grader", "gold", "gold_docs", "meta", "target")
 CONTAINERS = ("items", "data", "examples", "tasks")
 
 

@@ -4,7 +4,6 @@ import math
 
 import numpy as np
 import pytest
-from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from plumbline.functions import graders as G
@@ -29,7 +28,7 @@ def test_error_rates(spark):
     r = V.judge_error_rates(verdicts(spark, {"A": [1, 1, 0, 1, 0, 0]}, [1, 1, 1, 0, 0, 0])).first()
     assert (r.tp, r.fn, r.fp, r.tn, r.n_pos, r.n_neg, r.k) == (2, 1, 1, 2, 3, 3, 6)
     assert r.alpha == r.beta == pytest.approx(1 / 3) and r.lam == pytest.approx(1 / 3)
-    with pytest.raises(PySparkException, match="0 or 1"):
+    with pytest.raises(Exception, match="0 or 1"):
         V.judge_error_rates(verdicts(spark, {"A": [0.5]}, [1])).collect()
 
 
@@ -37,7 +36,7 @@ def test_debias(spark):
     df = spark.createDataFrame([(0.6, 0.01, 0.1, 0.0, 0.2, 0.0)], "m double, se_m double, alpha double, se_alpha double, beta double, se_beta double")
     r = V.debias(df).first()
     assert r.theta == pytest.approx(5 / 7) and r.se == pytest.approx(0.01 / 0.7) and r.attenuation == pytest.approx(0.49)
-    with pytest.raises(PySparkException, match="discriminate"):
+    with pytest.raises(Exception, match="discriminate"):
         V.debias(df.withColumn("alpha", F.lit(0.9))).collect()
 
 
@@ -56,7 +55,7 @@ def test_agreement(spark):
     r = V.agreement(verdicts(spark, {"A": [1, 1, 0], "B": [1, None, 0]})).first()
     assert (r.n, r.agreement) == (2, 1.0)
     twice = verdicts(spark, {"A": [1, 0], "B": [1, 0]})
-    with pytest.raises(PySparkException, match="two rows"):
+    with pytest.raises(Exception, match="two rows"):
         V.agreement(twice.union(twice)).collect()
 
 
@@ -85,7 +84,7 @@ def test_verdict_calls(spark):
     assert {(r.variant, r.text, r.reference) for r in items} == {("plain", "1210", 1.0), ("separated", "1,210", 1.0), ("off_by_one", "1211", 0.0), ("swapped", "2110", 0.0)}
 
 
-# ------------------------------------------------------------ retrieval
+# == retrieval ==
 
 
 def ranking(spark, names, query="q"):
@@ -141,9 +140,9 @@ def test_gold_controls(spark):
     assert order(Q.gold_control(scores(spark), gold("ac"), "oracle", 3)) == ["c", "a", "d"]
     assert order(Q.gold_control(scores(spark), gold("d"), "removed", 3)) == ["c", "b", "a"]
     assert order(Q.gold_control(scores(spark), gold("a"), "none", 2)) == ["d", "c"]
-    with pytest.raises(PySparkException, match="not in the corpus"):
+    with pytest.raises(Exception, match="not in the corpus"):
         Q.gold_control(scores(spark), gold("z"), "none", 3).collect()
-    with pytest.raises(PySparkException, match="more gold"):
+    with pytest.raises(Exception, match="more gold"):
         Q.gold_control(scores(spark), gold("abc"), "oracle", 2).collect()
 
 
@@ -161,7 +160,7 @@ def test_rerank(spark):
     assert [r.doc_id for r in Q.rerank(first, -F.col("score"), 2, 3).orderBy("pos").collect()] == ["b", "c"]
 
 
-# ------------------------------------------------------------ graders
+# == graders ==
 
 
 @pytest.mark.parametrize(
@@ -188,7 +187,7 @@ def test_set_f1_and_more(spark):
     assert (r.precision, r.recall, r.f1, r.n_pred, r.correct) == (pytest.approx(2 / 3), 0.5, pytest.approx(4 / 7), 3, 0)
     many = spark.createDataFrame([("Oslo", ["x", "oslo"])], "t string, g array<string>").select(G.exact(F.col("t"), F.col("g"), many=True).alias("x")).first().x
     assert many.correct == 1
-    with pytest.raises(PySparkException, match="nothing"):
+    with pytest.raises(Exception, match="nothing"):
         df.select(G.exact(F.col("t"), F.lit("!?"))).collect()
     with pytest.raises(KeyError):
         G.grade("guess", F.col("t"), F.col("g"))
@@ -206,7 +205,7 @@ def test_text(spark):
     assert (r.k, r.d, r.v, r.n, r.t) == ("HTTP # after #s id #", 3, 2, None, "a b")
 
 
-# ------------------------------------------------------------ contamination
+# == contamination ==
 
 
 def seqs(spark, **named):
@@ -229,11 +228,11 @@ def test_report(spark):
     out = N.contamination_report(seqs(spark, copied="the quick brown fox jumps", own="nothing to see here"), seqs(spark, r="the quick brown fox jumps over"), seqs(spark, c="a wolf walks by").select("seq"), (4,), 32)
     got = {r.name: r for r in out.collect()}
     assert got["copied"].overlap_4_excess > 0.9 and got["copied"].longest_match == 25 and got["control"].overlap_4_excess == 0 and got["control"].is_control
-    with pytest.raises(PySparkException, match="reserved"):
+    with pytest.raises(Exception, match="reserved"):
         N.contamination_report(seqs(spark, control="x"), seqs(spark, r="y"), None, (1,), 2).collect()
 
 
-# ------------------------------------------------------------ curves
+# == curves ==
 
 
 def test_value_curve(spark):
@@ -250,9 +249,9 @@ def test_value_curve(spark):
     assert got["mean", 10.0].point == pytest.approx(0.625) and got["crossing_9", None].censored == 1 and got["crossing_9", None].point is None
     text = C.curve_caveats(C.value_curves(df, "x", "v", levels=[9.0], n_boot=20), 2).first().caveats
     assert "only 2 clusters" in text and "never reaches" in text
-    with pytest.raises(PySparkException, match="0 or less"):
+    with pytest.raises(Exception, match="0 or less"):
         C.value_curve(df.withColumn("x", F.col("x") - 1), "x", "v").collect()
-    with pytest.raises(PySparkException, match="two rows"):
+    with pytest.raises(Exception, match="two rows"):
         C.value_curve(df.union(df), "x", "v").collect()
     with pytest.raises(ValueError, match="numeric"):
         C.value_curve(df.withColumn("x", F.col("x").cast("string")), "x", "v")
@@ -268,7 +267,7 @@ def test_gradient_is_numpys(spark):
 
 
 def test_composition(spark):
-    ok = [[1], [0], [1, 1], [1, 0], [0, 1], [1, 1]]
+    ok = [list(map(int, s)) for s in "1 0 11 10 01 11".split()]
     rows = [(x, f"i{i}", f"i{i}", seq) for x in (1, 2) for i, seq in enumerate(ok)]
     df = spark.createDataFrame(rows, "x int, item_id string, cluster string, ok array<int>")
     for r in C.composition_points(df, "x", "ok").collect():
@@ -281,7 +280,7 @@ def test_composition(spark):
     assert t.count() == 20 and t.where("position = 1").count() == 8
 
 
-# ------------------------------------------------------------ events
+# == events ==
 
 EVENTS = "t timestamp, event string, unit_id string, status string, error string, latency_s double, in_tokens double, out_tokens double, n_units bigint, to_go bigint, reason string, wait_s double"
 
