@@ -47,7 +47,7 @@ class ArchiveError(ValueError):
     """Bytes that are no archive of a known version."""
 
 
-# ---------------------------------------------------------------- compressed members
+# == compressed members ==
 
 
 def pack_member(raw: bytes, level: int = LEVEL) -> bytes:
@@ -76,7 +76,7 @@ def members(stream: io.RawIOBase, chunk: int = 1 << 20) -> Iterator[tuple[int, i
         yield start, at - start, b"".join(parts)
 
 
-# ---------------------------------------------------------------- ARC
+# == ARC ==
 
 
 @dataclass
@@ -151,7 +151,7 @@ def split_http(body: bytes) -> tuple[dict[bytes, bytes], bytes, bytes]:
     return headers, head + gap, payload
 
 
-# ---------------------------------------------------------------- WARC
+# == WARC ==
 
 
 def digest(payload: bytes) -> str:
@@ -187,7 +187,7 @@ def parse_warc(raw: bytes) -> tuple[dict[str, str], bytes]:
     return fields, rest[:size]
 
 
-# ---------------------------------------------------------------- jobs
+# == jobs ==
 
 
 class _Roller:
