@@ -114,6 +114,12 @@ def _knapsack(value: np.ndarray, widths: np.ndarray, room: int) -> tuple[float,
     return float(best[room]), pattern
 
 
+def _image(inverse: np.ndarray, vector: np.ndarray) -> np.ndarray:
+    """inverse times vector over the vector's few entries, without threads of a linear algebra library."""
+    at = np.flatnonzero(vector)
+    return (inverse[:, at] * vector[at]).sum(axis=1)
+
+
 def _enter(inverse: np.ndarray, step: np.ndarray, out: int) -> None:
     """Update the inverse of a basis in place: the column whose image is ``step`` replaces column ``out``."""
     inverse[out] /= step[out]
@@ -148,7 +154,7 @@ def _first_basis(widths: np.ndarray, demand: np.ndarray, room: int) -> tuple[np.
     basis, inverse = np.empty((len(widths), len(widths))), np.eye(len(widths))
     basis[:, done] = np.array(columns).T
     for out, pattern in zip(reversed(done), reversed(columns)):  # each holds bins that were used up later only
-        _enter(inverse, inverse @ pattern, out)
+        _enter(inverse, _image(inverse, pattern), out)
     return basis, inverse
 
 
@@ -162,7 +168,7 @@ def solve_patterns(widths: np.ndarray, demand: np.ndarray, room: int, gap: float
     """
     m = len(widths)
     columns, inverse = _first_basis(widths, demand, room)
-    use = np.maximum(inverse @ demand, 0)
+    use = np.maximum(_image(inverse, demand), 0)
     centre = widths / room
     bound = float(centre @ demand)
     for _ in range(rounds):
@@ -178,7 +184,7 @@ def solve_patterns(widths: np.ndarray, demand: np.ndarray, room: int, gap: float
                 break
         else:
             break
-        step = inverse @ pattern
+        step = _image(inverse, pattern)
         with np.errstate(divide="ignore", invalid="ignore"):
             ratio = np.where(step > 1e-9, use / step, np.inf)
         out = int(np.argmin(ratio))
@@ -186,7 +192,7 @@ def solve_patterns(widths: np.ndarray, demand: np.ndarray, room: int, gap: float
             break
         _enter(inverse, step, out)
         columns[:, out] = pattern
-        use = np.maximum(inverse @ demand, 0)
+        use = np.maximum(_image(inverse, demand), 0)
     return [(columns[:, j], float(use[j])) for j in range(m) if use[j] > 0]
 
 
