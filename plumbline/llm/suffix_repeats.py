@@ -5,15 +5,15 @@ by hash, of a window of word k-grams. Equal passages select equal positions, and
 ``least`` words has such a position with at least ``prefix`` of its words to the right, so it is
 enough to compare suffixes that agree in their first ``prefix`` words. Kept suffixes are counted by
 the hash of that prefix; those that are alone drop out before any content moves. The others carry
-the hashes of the words on either side, are sorted by the words that follow, and each is compared
-with its neighbours in that order and in the order of the words before it; up to ``pairs`` of one
-prefix are compared with each other. Matches are extended left and right from the position; one of
-``least`` words is a repeat. Extension goes as far as the next selected position takes over.
+the hashes of the words on either side. Up to ``pairs`` of one prefix are compared with each other:
+matches are extended left and right from the position, and one of ``least`` words is a repeat. Of
+more than ``pairs``, the windows of ``least`` words around each suffix are hashed and counted, and
+windows counted twice are the repeats; this finds the same spans, in n log n. Extension goes as far
+as the next selected position takes over.
 
-Sorted suffixes are streamed in blocks of bounded size. A prefix with more than ``hot`` suffixes is
-not sorted in one task: each of its suffixes sends the hashes of the windows of ``least`` words around
-it, which are counted in parts, and windows counted twice are the repeats; this is as exact. Texts
-that are equal are one node; with ``least`` words they repeat as a whole.
+Suffixes are streamed by prefix; a task holds those of one prefix. More than ``hot`` of one prefix are
+not brought together: the hashes of their windows are counted in parts, over all tasks. Texts that
+are equal are one node; with ``least`` words they repeat as a whole.
 
 Defined results: a null text is empty; texts of fewer than ``least`` words have no repeats; null ids
 and repeated rows are rows of their own; extra columns are ignored; a passage that occurs twice in
@@ -179,19 +179,42 @@ def _shared(a: bytes, b: bytes) -> int:
 Suffix = tuple[int, int, bytes, bytes]
 
 
+def _starts(sides: list[bytes], words: int) -> np.ndarray:
+    """Hashes of the first 0 to ``words`` 4-byte values of each side; beyond its end they are unlike any other row's."""
+    size = np.array([len(x) // 4 for x in sides])
+    value = np.frombuffer(b"".join(x[: 4 * words].ljust(4 * words, b"\0") for x in sides), np.uint32).reshape(len(sides), words)
+    out = np.zeros((len(sides), words + 1), np.uint64)
+    for k in range(words):
+        out[:, k + 1] = mix64(out[:, k] ^ value[:, k])
+    out[np.arange(words + 1) > size[:, None]] = 0
+    return out
+
+
+def _counted(rows: list[Suffix], repeats: Repeats) -> list[tuple[int, int, int]]:
+    """Spans of the windows of ``least`` words that two suffixes of one prefix have around them."""
+    ahead, most = repeats.least - repeats.prefix, repeats.window - 1
+    sides = [[_starts([x[c] for x in rows[i : i + repeats.block]], k) for i in range(0, len(rows), repeats.block)] for c, k in ((2, ahead), (3, most))]
+    right, left = (np.concatenate(x) for x in sides)
+    room = [np.array([len(x[c]) // 4 for x in rows]) for c in (2, 3)]
+    low, high = np.full(len(rows), most + 1), np.full(len(rows), -1)
+    for s in range(min(most, ahead) + 1):
+        whole = np.flatnonzero((room[0] >= ahead - s) & (room[1] >= s))
+        _, which, n = np.unique(mix64(left[whole, s]) ^ right[whole, ahead - s], return_inverse=True, return_counts=True)
+        twice = whole[n[which] > 1]
+        low[twice], high[twice] = np.minimum(low[twice], s), s
+    return [(rows[i][0], rows[i][1] - int(high[i]), rows[i][1] - int(low[i]) + repeats.least) for i in np.flatnonzero(high >= 0)]
+
+
 def compare_block(rows: list[Suffix], repeats: Repeats) -> list[tuple[int, int, int]]:
     """Spans (node, start, end) of repeats among suffixes (node, at, right, left) of one prefix."""
     rows = list(dict.fromkeys(rows))
     n = len(rows)
     if n < 2:
         return []
-    if n <= repeats.pairs:
-        tries = [(i, j) for i in range(n) for j in range(i)]
-    else:
-        by_left = sorted(range(n), key=lambda i: (rows[i][3], rows[i][2]))
-        tries = [(i, i + 1) for i in range(n - 1)] + list(zip(by_left, by_left[1:]))
+    if n > repeats.pairs:
+        return _counted(rows, repeats)
     best: dict[int, list[int]] = {}
-    for i, j in tries:
+    for i, j in ((i, j) for i in range(n) for j in range(i)):
         r, s = repeats.prefix + _shared(rows[i][2], rows[j][2]), _shared(rows[i][3], rows[j][3])
         if r + s >= repeats.least:
             for x in (i, j):
@@ -201,7 +224,7 @@ def compare_block(rows: list[Suffix], repeats: Repeats) -> list[tuple[int, int,
 
 
 def _compare(repeats: Repeats):
-    """Streams suffixes in the order of prefix and following words; holds one block."""
+    """Streams suffixes in the order of prefix, node and position; holds one prefix, each suffix once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block: list[Suffix] = []
@@ -217,10 +240,8 @@ def _compare(repeats: Repeats):
                 if row[0] != prefix:
                     out += compare_block(block, repeats)
                     prefix, block = row[0], []
-                elif len(block) >= repeats.block:
-                    out += compare_block(block, repeats)
-                    block = block[-1:]
-                block.append(row[1:])
+                if not block or block[-1] != row[1:]:  # equal rows of the input give equal suffixes
+                    block.append(row[1:])
             if out:
                 yield result()
         out += compare_block(block, repeats)
@@ -274,7 +295,7 @@ def repeated_passages(docs: DataFrame, repeats: Repeats | None = None) -> DataFr
     any_hot = not many.where("hot").isEmpty()
     if any_hot:
         carried = written(carried, "suffixes")
-    ordered = carried.where("NOT hot").drop("hot").repartition("prefix").sortWithinPartitions("prefix", "right", "left", "node", "at")
+    ordered = carried.where("NOT hot").drop("hot").repartition("prefix").sortWithinPartitions("prefix", "node", "at")
     spans = ordered.mapInArrow(_compare(repeats), "node bigint, start int, end int")
     if any_hot:
         windows = carried.where("hot").drop("hot").mapInArrow(_windows(repeats), "window bigint, node bigint, start int").distinct()

@@ -73,3 +73,31 @@ def test_one_prefix_in_many_documents():
     repeats = R.Repeats(pairs=4, block=50)
     rows = [(i, 30, bytes([i % 7]) * 100, b"\x01" * 100) for i in range(300)]
     assert len({n for n, _, _ in R.compare_block(rows, repeats)}) == 300
+
+
+def boilerplate(texts=4500, seed=4):
+    """45 words in all texts; every third text has the 10 words before them in common with one other."""
+    rng = random.Random(seed)
+    own = lambda k: [f"u{rng.getrandbits(60)}" for _ in range(k)]
+    common, heads = own(45), [own(10) for _ in range(texts // 6)]
+    heads += heads + [own(10) for _ in range(texts - 2 * len(heads))]
+    rng.shuffle(heads)
+    return [(i, " ".join(own(i % 7) + h + common + own(rng.choice([0, 3, 30])))) for i, h in enumerate(heads)]
+
+
+def test_many_suffixes_that_share_fewer_words(spark):
+    rows = boilerplate()
+    got = R.repeated_passages(spark.createDataFrame([(d, t, "z") for d, t in rows], SCHEMA)).collect()
+    want = brute_force(rows)
+    assert len(want) == 1500
+    assert len(got) == 1500
+    assert sorted(((r.doc_id, r.n_words, r.spans) for r in got), key=repr) == want
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_counted_windows_are_the_compared_ones(seed):
+    rng = random.Random(seed)
+    side = lambda: b"".join(bytes([rng.random() < 0.06, 0, 0, 1]) for _ in range(rng.choice([3, 25, 25, 25])))
+    rows = [(i, 30, side(), side()) for i in range(200)]
+    spans = [set(R.compare_block(rows, R.Repeats(pairs=p, block=b))) for p, b in ((1000, 9), (4, 9), (4, 2048))]
+    assert 0 < len(spans[0]) <= 200 and spans[0] == spans[1] == spans[2]
