@@ -28,7 +28,7 @@ ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 IDENTIFIER = r"""(?i)(?<![A-Za-z0-9])(?:user_?(?:name|id)?|login|client_?id|access_?key_?id|account_?(?:name|id)?)["']?\x20*[:=]\x20*["']?[A-Za-z0-9][A-Za-z0-9@._-]{2,}"""
-KEY = r"(?<![A-Za-z0-9+/=])(?=[A-Za-z0-9+/]*[0-9])(?=[A-Za-z0-9+/]*[A-Z])(?=[A-Za-z0-9+/]*[a-z])[A-Za-z0-9+/]{32,64}={0,2}(?![A-Za-z0-9+/=])"
+KEY = r"(?<![A-Za-z0-9+/])(?=[A-Za-z0-9+/]*[0-9])(?=[A-Za-z0-9+/]*[A-Z])(?=[A-Za-z0-9+/]*[a-z])[A-Za-z0-9+/]{32,64}={0,2}(?![A-Za-z0-9+/=])"
 ENDPOINT = r"""(?i)(?:(?:https?|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb(?:\+srv)?|rediss?|amqps?|ftps?|ssh|s3)://[^\s"'<>]+|(?<![A-Za-z0-9])(?:host(?:name)?|endpoint|server)["']?\x20*[:=]\x20*["']?[A-Za-z0-9][A-Za-z0-9.:_-]{3,})"""
 BLANK = r"\n[\x20\t\r]*\n"
 KINDS = ("assign", "access", "hex", "id", "key", "endpoint")
