@@ -28,7 +28,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets in texts are masked; every document stays."""
-    return secret_spans.mask_secrets(docs)
+    return secret_spans.mask_secrets(docs, secret_spans.Linking(reach=None))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

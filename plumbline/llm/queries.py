@@ -53,7 +53,7 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secret_spans.secret_report(_table(spark, sf_dir, "documents"))
+    return secret_spans.secret_report(_table(spark, sf_dir, "documents"), secret_spans.Linking(reach=None))
 
 
 def op10_shard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,8 +3,8 @@
 Base kinds are found by patterns alone: ``assign`` (a secret word given a value), ``access`` (an
 access identifier) and ``hex`` (a long hexadecimal run). Weak parts are identifiers (``id``), free
 standing keys (``key``) and endpoints (``endpoint``); each is common in clean text, so it is reported
-only if complementary parts lie in the same scope, a block of text without a blank line, and within
-``reach`` code points: an identifier needs a secret, a key an identifier or an endpoint, and an
+only if complementary parts lie in the same scope, a block of text without a blank line (and, where
+``reach`` is a number, within so many code points): an identifier needs a secret, a key an identifier or an endpoint, and an
 endpoint both an identifier and a secret. The join of the intervals happens within the row, where
 all parts of a scope are; nothing is shuffled.
 
@@ -17,6 +17,8 @@ their own; extra columns are ignored by :func:`secret_report` and kept by :func:
 
 from __future__ import annotations
 
+import functools
+import operator
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -28,7 +30,7 @@ ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 IDENTIFIER = r"""(?i)(?<![A-Za-z0-9])(?:user_?(?:name|id)?|login|client_?id|access_?key_?id|account_?(?:name|id)?)["']?\x20*[:=]\x20*["']?[A-Za-z0-9][A-Za-z0-9@._-]{2,}"""
-KEY = r"(?<![A-Za-z0-9+/])(?=[A-Za-z0-9+/]*[0-9])(?=[A-Za-z0-9+/]*[A-Z])(?=[A-Za-z0-9+/]*[a-z])[A-Za-z0-9+/]{32,64}={0,2}(?![A-Za-z0-9+/=])"
+KEY = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_-]*[0-9])(?=[A-Za-z0-9+/_-]*[A-Z])(?=[A-Za-z0-9+/_-]*[a-z])[A-Za-z0-9+/_-]{32,}+={0,2}(?![A-Za-z0-9+/_=-])"
 ENDPOINT = r"""(?i)(?:(?:https?|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb(?:\+srv)?|rediss?|amqps?|ftps?|ssh|s3)://[^\s"'<>]+|(?<![A-Za-z0-9])(?:host(?:name)?|endpoint|server)["']?\x20*[:=]\x20*["']?[A-Za-z0-9][A-Za-z0-9.:_-]{3,})"""
 BLANK = r"\n[\x20\t\r]*\n"
 KINDS = ("assign", "access", "hex", "id", "key", "endpoint")
@@ -38,7 +40,7 @@ BLOCK = 128
 
 @dataclass(frozen=True)
 class Linking:
-    reach: int = 300
+    reach: int | None = 300  # None: the whole scope
     mask: str = "[SECRET]"
 
 
@@ -92,6 +94,11 @@ def _near(part: Column, others: Column, breaks: Column, reach: int) -> Column:
     return F.exists(others, joined)
 
 
+def _scope(part: Column, breaks: Column) -> Column:
+    """The number of blank lines before ``part``; no part holds one."""
+    return F.size(F.filter(breaks, lambda b: b["start"] < part["start"]))
+
+
 def _apart(parts: Column, base: Column) -> Column:
     """Parts that overlap no base span."""
     return F.filter(parts, lambda p: ~F.exists(base, lambda b: (b["start"] < p["end"]) & (p["start"] < b["end"])))
@@ -110,6 +117,9 @@ def credential_spans(text: Column, linking: Linking | None = None) -> Column:
 
             def judge(v: Column) -> Column:
                 ids, secrets = F.concat(base["access"], v["id"]), F.concat(strong, v["key"])
+                if linking.reach is None:
+                    scopes = F.struct(*[F.array_distinct(F.transform(x, lambda p: _scope(p, v["breaks"]))).alias(k) for x, k in ((ids, "ids"), (secrets, "secrets"), (v["endpoint"], "endpoint"))])
+                    return let(scopes, lambda c: in_scopes(v, c))
                 near = lambda p, others: _near(p, others, v["breaks"], linking.reach)
                 return F.concat(
                     F.filter(v["id"], lambda p: near(p, secrets)),
@@ -117,6 +127,14 @@ def credential_spans(text: Column, linking: Linking | None = None) -> Column:
                     F.filter(v["endpoint"], lambda p: near(p, ids) & near(p, secrets)),
                 )
 
+            def in_scopes(v: Column, c: Column) -> Column:
+                there = lambda p, *kinds: let(_scope(p, v["breaks"]), lambda s: functools.reduce(operator.and_, [F.array_contains(c[k], s) for k in kinds]))
+                return F.concat(
+                    F.filter(v["id"], lambda p: there(p, "secrets")),
+                    F.filter(v["key"], lambda p: there(p, "ids") | there(p, "endpoint")),
+                    F.filter(v["endpoint"], lambda p: there(p, "ids", "secrets")),
+                )
+
             parts = [_apart(w[k], all_base).alias(k) for k in ("id", "key", "endpoint")]
             return let(F.struct(*parts, _spans(t, BLANK, 0).alias("breaks")), judge)
 
