@@ -521,10 +521,16 @@ def ngram_overlap(spark, sf):
     return rounded(N.ngram_overlap(words("documents", "doc_id"), words("benchmark", "item_id"), 8, text=False))
 
 
+def whole_items(spark: SparkSession, sf: str) -> int:
+    """A cap that no match with a benchmark item reaches; 64, the operators' own, at least."""
+    longest = table(spark, sf, "benchmark").agg(F.max(F.size(Q.tokens(F.col("text"))))).first()[0]
+    return max(64, (longest or 0) + 1)
+
+
 @query()
 def longest_match(spark, sf):
     words = lambda t, k: table(spark, sf, t).select(F.col(k).alias("name"), Q.tokens(F.col("text")).alias("seq"))
-    return N.longest_match(words("documents", "doc_id"), words("benchmark", "item_id"), 16, text=False)
+    return N.longest_match(words("documents", "doc_id"), words("benchmark", "item_id"), whole_items(spark, sf), text=False)
 
 
 @query()
@@ -532,7 +538,7 @@ def contamination_report(spark, sf):
     docs = table(spark, sf, "documents")
     words = lambda d, k: d.select(k.alias("name"), Q.tokens(F.col("text")).alias("seq"))
     control = docs.where("doc_id = 1").select(Q.tokens(F.col("text")).alias("seq"))
-    return N.contamination_report(words(table(spark, sf, "benchmark"), F.col("item_id").cast("string")), words(docs, F.col("doc_id")), control, (4, 8), 16, text=False)
+    return N.contamination_report(words(table(spark, sf, "benchmark"), F.col("item_id").cast("string")), words(docs, F.col("doc_id")), control, (4, 8), whole_items(spark, sf), text=False)
 
 
 # == curves ==

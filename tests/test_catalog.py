@@ -48,6 +48,17 @@ def test_other_queries_run(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
 
 
+def test_contamination_queries_find_whole_passages(spark, tmp_path):
+    item = [f"w{i}" for i in range(100)]
+    spark.createDataFrame([(7, " ".join(item))], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = [(1, "nothing of it"), (2, " ".join(["a", *item[5:95], "b"])), (3, " ".join(item))]
+    spark.createDataFrame(docs, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r.name: (r.longest_match, r.capped) for r in QUERIES["longest_match"](spark, str(tmp_path)).collect()}
+    assert found == {1: (0, False), 2: (90, False), 3: (100, False)}
+    report = {r.name: r.longest_match for r in QUERIES["contamination_report"](spark, str(tmp_path)).collect()}
+    assert report["7"] == 100
+
+
 def test_entry_file_without_the_subpackage(tmp_path):
     """The entry file imports and lists the other queries where the subpackage for training data is gone."""
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
