@@ -1,23 +1,34 @@
 """Near-duplicates by SimHash and bit sampling.
 
-Equal texts are one node. A node's signature has 256 bits, each the sign of a random projection of
-its set of word 5-shingles. Several tables sample coordinates; nodes that agree on all sampled bits
-of a table share a bucket. Buckets are read in the order of further sampled bits; one with more than
-``cap`` nodes is split by as many of these as needed, so memory never grows with a bucket. Pairs in
-a bucket within the Hamming distance are candidates, and the exact Jaccard similarity of their
-shingle sets decides. Links join nodes to classes by star contraction in tables.
+Texts with one set of word 5-shingles are one node. A node's signature has 256 bits, each the sign
+of a random projection of its shingles. Several tables sample coordinates; nodes that agree on all
+sampled bits of a table share a bucket. Nodes of a bucket within the Hamming distance are candidates,
+and the exact Jaccard similarity of their shingle sets decides.
 
-Limits of the method: a pair at similarity 0.8 meets in one of the tables with a chance of over
-0.99, one at 0.9 with over 0.9998; bits added to an oversized bucket lower that chance for the
-nodes in it. Among nodes that agree in all bits a table has, each is compared with the one before.
+No bucket loses a pair and none is expanded into all its pairs:
+
+* A node is linked to ``links`` near nodes of its bucket, and to more only where these leave it apart
+  from a near one; so near nodes of a bucket always hang together through candidates.
+* A bucket of more than ``cap`` nodes is ordered by additional sampled bits and cut into parts. Nodes
+  are compared within their part first, then with every other part of the bucket, a task holding one.
+* Where the exact similarity refuses a candidate, what hung on it is open again: in the zone around
+  refused candidates all near pairs between different classes are verified.
+
+Links join nodes to classes by star contraction in written tables.
+
+Limits of the method: a pair at similarity 0.8 meets in one of the tables with a chance of over 0.99,
+one at 0.9 with over 0.9998. :meth:`Tables.sized` keeps buckets short and these chances the same as
+nodes grow in number. The time of a part is quadratic in ``cap``, that of a bucket in its parts.
 
 Defined results: a null text is empty; texts without words are near only to equal texts; texts of
-fewer than five words are one shingle; null ids and repeated rows get a row each; extra columns are
-ignored by :func:`near_duplicates` and kept by :func:`keep_one_of_each`.
+fewer than five words are one shingle; null ids and repeated rows get a row each, and a class whose
+ids are all null has a null class id; extra columns are ignored by :func:`near_duplicates` and kept by
+:func:`keep_one_of_each`; ids may be of any type with an order.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -33,20 +44,32 @@ from .common import any_names, join_spread, mix64, only, raw_texts, sliced, writ
 WORDS = 5
 SALTS = np.array([0x9E6C63D0876A9A62, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], dtype=np.uint64)
 SIG = ("s0", "s1", "s2", "s3")
+SIGNS = ", ".join(f"{s} bigint" for s in SIG)
 
 
 @dataclass(frozen=True)
 class Tables:
-    """80 tables of 14 bits; each has 48 further bits in store."""
+    """80 tables of 14 bits; each has 48 additional bits in store."""
 
     tables: int = 80
     bits: int = 14
     more: int = 48
     cap: int = 4096
+    links: int = 4
     distance: int = 58
     similarity: float = 0.8
     seed: int = 20240229
 
+    @classmethod
+    def sized(cls, nodes: int) -> Tables:
+        """Bits for buckets of about 128 unrelated nodes, and as many tables as keep the recall.
+
+        A bit agrees with a chance of 0.85 at similarity 0.8, so each further bit asks for 1 / 0.85
+        times the tables.
+        """
+        bits = max(cls.bits, math.ceil(math.log2(max(1, nodes) / 128)))
+        return cls(tables=math.ceil(cls.tables * 0.85 ** (cls.bits - bits)), bits=bits)
+
     def coordinates(self) -> np.ndarray:
         rng = np.random.default_rng(self.seed)
         return np.array([rng.permutation(256)[: self.bits + self.more] for _ in range(self.tables)])
@@ -88,12 +111,13 @@ def _as_long(x: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(x).view(np.int64)
 
 
-def node_of(text: bytes | None) -> int:
-    return xxhash.xxh3_64_intdigest(text or b"") - (1 << 63)
+def text_id(text: bytes | None) -> bytes:
+    """128 bits that name a text."""
+    return xxhash.xxh3_128_digest(text or b"")
 
 
 def sign_documents(docs: DataFrame, most_words: int = 500_000) -> DataFrame:
-    """doc_id, node, number of shingles and signature of every row, written once."""
+    """doc_id, names of the text and of its shingle set, number of shingles and signature, written once."""
     kind = only(docs, "doc_id").schema[0].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,20 +125,27 @@ def sign_documents(docs: DataFrame, most_words: int = 500_000) -> DataFrame:
         for batch in sliced(batches, "text", 4 << 20):
             if len(hashes) > most_words:
                 hashes = _Hashes()
-            nodes, sizes, signs = [], [], []
+            texts, sets, sizes, signs = [], [], [], []
             for text in raw_texts(batch.column("text")):
                 found = shingles(text, hashes)
-                nodes.append(node_of(text))
+                texts.append(text_id(text))
+                sets.append(xxhash.xxh3_128_digest(found.tobytes(), seed=1) if len(found) else texts[-1])
                 sizes.append(len(found))
                 signs.append(signature(found))
             sign = _as_long(np.array(signs, dtype=np.uint64)).reshape(-1, 4)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), *[pa.array(sign[:, k]) for k in range(4)]],
-                names=["doc_id", "node", "n", *SIG],
+                [batch.column("doc_id"), pa.array(texts, pa.binary()), pa.array(sets, pa.binary()), pa.array(sizes, pa.int32()), *[pa.array(sign[:, k]) for k in range(4)]],
+                names=["doc_id", "text_id", "set_id", "n", *SIG],
             )
 
-    schema = f"doc_id {kind}, node bigint, n int, s0 bigint, s1 bigint, s2 bigint, s3 bigint"
-    return written(only(docs, "doc_id", "text").mapInArrow(run, schema), "signatures")
+    return written(only(docs, "doc_id", "text").mapInArrow(run, f"doc_id {kind}, text_id binary, set_id binary, n int, {SIGNS}"), "signatures")
+
+
+def make_nodes(signed: DataFrame) -> DataFrame:
+    """A numbered node per shingle set: its rows, least id, and the row whose text stands for it."""
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_id")
+    nodes = signed.groupBy("set_id").agg(F.min(row).alias("row"), F.count("*").alias("rows"), F.first("n").alias("n"), *[F.first(s).alias(s) for s in SIG])
+    return written(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
 
 
 def _sampled(sign: np.ndarray, places: np.ndarray) -> np.ndarray:
@@ -125,82 +156,171 @@ def _sampled(sign: np.ndarray, places: np.ndarray) -> np.ndarray:
     return out
 
 
-def _entries(tables: Tables):
+def _entries(tables: Tables, columns: tuple[str, ...]):
+    """A row per node and table: bucket, additional bits, and ``columns``, of which the last four are the signature."""
     coordinates = tables.coordinates()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
                 part = batch.slice(at, 2048)
-                own = [part.column(c) for c in ("node", *SIG)]
-                sign = np.stack([np.asarray(x).view(np.uint64) for x in own[1:]], axis=1)
+                own = [part.column(c) for c in columns]
+                sign = np.stack([np.asarray(x).view(np.uint64) for x in own[-4:]], axis=1)
                 for t, places in enumerate(coordinates):
                     key = (np.uint64(t) << np.uint64(tables.bits)) | _sampled(sign, places[: tables.bits])
                     more = _sampled(sign, places[tables.bits :])
-                    yield pa.RecordBatch.from_arrays([pa.array(_as_long(key)), pa.array(_as_long(more)), *own], names=["key", "more", "node", *SIG])
+                    yield pa.RecordBatch.from_arrays([pa.array(_as_long(key)), pa.array(_as_long(more)), *own], names=["key", "more", *columns])
 
     return run
 
 
-def _close(node: np.ndarray, sign: np.ndarray, group: np.ndarray, distance: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs within the distance, of rows that lie in one run of equal ``group``."""
-    n, live = len(node), np.arange(len(node))
-    for d in range(1, n):
-        live = live[: np.searchsorted(live, n - d)]
-        live = live[group[live] == group[live + d]]
+def _labels(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The least index that each index hangs together with through pairs (i, j)."""
+    label = np.arange(n)
+    while True:
+        before, low = label.copy(), np.minimum(label[i], label[j])
+        np.minimum.at(label, i, low)
+        np.minimum.at(label, j, low)
+        np.minimum.at(label, before[i], low)
+        np.minimum.at(label, before[j], low)
+        label = label[label]
+        if (label == before).all():
+            return label
+
+
+def _bridges(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> list[tuple[int, int]]:
+    """Those of the pairs, in order, that join different labels; ``label`` follows."""
+    found = []
+    for a, b in zip(i[label[i] != label[j]].tolist(), j[label[i] != label[j]].tolist()):
+        if label[a] != label[b]:
+            label[label == label[b]] = label[a]
+            found.append((a, b))
+    return found
+
+
+def near_pairs(sign: np.ndarray, group: np.ndarray, cls: np.ndarray | None, distance: int, links: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """Indices of near rows of different ``cls`` in one run of equal ``group``.
+
+    With ``links``, so many for a row with rows before it, and one for any two rows that would be apart.
+    """
+    n = len(group)
+    first, count, done = np.searchsorted(group, group), np.zeros(n, np.int64), np.zeros(n, np.int64)
+    left, right, live, d = [], [], np.arange(n), 0
+
+    def near(rows: np.ndarray) -> np.ndarray:
+        far = np.bitwise_count(sign[rows] ^ sign[rows - d]).sum(axis=1, dtype=np.int32)
+        return rows[(far <= distance) if cls is None else (far <= distance) & (cls[rows] != cls[rows - d])]
+
+    while True:
+        d += 1
+        live = live[live - d >= first[live]]
         if not len(live):
-            return
-        far = np.bitwise_count(sign[live] ^ sign[live + d]).sum(axis=1, dtype=np.int32)
-        near = live[far <= distance]
-        if len(near):
-            a, b = node[near], node[near + d]
-            yield np.minimum(a, b), np.maximum(a, b)
-
-
-def _compare(tables: Tables):
-    """Streams entries in the order of key and further bits; holds about ``cap`` rows of a bucket."""
-    steps = [tables.more - 8 * k for k in range(1, tables.more // 8 + 1)]
-
-    def settle(node, sign, key, more, last: bool):
-        """Compare all complete groups; returns what may go on in the next batch."""
-        depth = np.full(len(key), -1)
-        group = _runs(key)
-        for k, shift in enumerate(steps):
-            size = np.bincount(group)
-            large = size[group] > tables.cap
-            if not large.any():
-                break
-            finer = _runs(group, np.where(large, more >> np.uint64(shift), 0))
-            depth[large], group = k, finer
-        return group
+            break
+        found = near(live)
+        if len(found):
+            left.append(found - d)
+            right.append(found)
+            if links:
+                count[found] += 1
+                done[found[count[found] >= links]] = d
+                live = live[count[live] < links]
+    if not left:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    i, j = np.concatenate(left), np.concatenate(right)
+    live = np.flatnonzero((done > 0) & (np.arange(n) - done > first))
+    if len(live):
+        label, bridges, d = _labels(n, i, j), [], int(done[live].min())
+        while len(live):
+            d += 1
+            live = live[live - d >= first[live]]
+            found = near(live[done[live] < d])
+            bridges += _bridges(label, found - d, found)
+        both = np.array(bridges, np.int64).reshape(-1, 2)
+        i, j = np.concatenate([i, both[:, 0]]), np.concatenate([j, both[:, 1]])
+    return i, j
+
+
+BUCKETS = f"a bigint, b bigint, key bigint, part int, cls bigint, {SIGNS}"
+ARROW = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("key", pa.int64()), ("part", pa.int32()), ("cls", pa.int64()), *[(s, pa.int64()) for s in SIG]])
+
+
+def _pair_rows(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    columns = [pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))]
+    return pa.RecordBatch.from_arrays([*columns, *[pa.nulls(len(a), f.type) for f in list(ARROW)[2:]]], schema=ARROW)
+
+
+def _compare(tables: Tables, links: int | None):
+    """Streams entries in the order of bucket and additional bits and holds about ``cap`` rows of a bucket.
+
+    Yields candidate pairs (a, b), and each member of a bucket over the cap as (a, key, part, ...).
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
+        rest: list[np.ndarray] | None = None
+        big, parts = None, 0  # the bucket over the cap that is being read, and its parts so far
         for batch in _with_end(batches):
             if batch is not None:
-                own = [np.asarray(batch.column(c)) for c in ("key", "more", "node", *SIG)]
-                new = [own[0], own[1].view(np.uint64), own[2], np.stack([x.view(np.uint64) for x in own[3:]], axis=1)]
+                classed = "cls" in batch.schema.names
+                names = ("key", "node", "cls" if classed else "node", *SIG)
+                own = [np.asarray(batch.column(c)) for c in names]
+                new = [*own[:3], np.stack([x.view(np.uint64) for x in own[3:]], axis=1)]
                 rest = new if rest is None else [np.concatenate(p) for p in zip(rest, new)]
                 if len(rest[0]) < 4 * tables.cap:
                     continue
-            if rest is None:
+            if rest is None or not len(rest[0]):
                 return
-            key, more, node, sign = rest
-            group = settle(node, sign, key, more, batch is None)
-            cut = len(key) if batch is None else int(np.searchsorted(group, group[-1]))
-            if cut == 0:  # one bucket fills the buffer and further bits do not split it
-                cut = len(key) - 1
-            size = np.bincount(group[:cut])
-            large = size[group[:cut]] > tables.cap
-            found = list(_close(node[:cut][~large], sign[:cut][~large], group[:cut][~large], tables.distance))
-            if large.any():
-                at = np.flatnonzero(large)
-                at = at[np.r_[False, group[at][1:] == group[at][:-1]]]
-                near = at[np.bitwise_count(sign[at] ^ sign[at - 1]).sum(axis=1, dtype=np.int32) <= tables.distance]
-                found.append((np.minimum(node[near], node[near - 1]), np.maximum(node[near], node[near - 1])))
-            for a, b in found:
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-            rest = [p[cut:] for p in rest]
+            key = rest[0]
+            run_of = _runs(key)
+            start, size = np.flatnonzero(np.diff(run_of, prepend=-1)), np.bincount(run_of)
+            place = np.arange(len(key)) - start[run_of]
+            over = (size > tables.cap)[run_of] | (key == big if big is not None else False)
+            part = np.where(over, place // tables.cap, 0)
+            part[key == big] += parts
+            end = len(key)
+            if batch is not None:  # the last bucket may go on, but whole parts of one over the cap are complete
+                end = int(start[-1]) + (int(size[-1]) // tables.cap * tables.cap if over[-1] else 0)
+            node, cls, sign = (p[:end] for p in rest[1:])
+            i, j = near_pairs(sign, _runs(run_of[:end], part[:end]), cls if classed else None, tables.distance, links)
+            yield _pair_rows(node[i], node[j])
+            at = np.flatnonzero(over[:end])
+            if len(at):
+                columns = [pa.array(node[at]), pa.nulls(len(at), pa.int64()), pa.array(key[at]), pa.array(part[at].astype(np.int32)), pa.array(cls[at]), *[pa.array(_as_long(sign[at, k])) for k in range(4)]]
+                yield pa.RecordBatch.from_arrays(columns, schema=ARROW)
+                big, parts = int(key[at[-1]]), int(part[at[-1]]) + 1
+            rest = [p[end:] for p in rest]
+
+    return run
+
+
+def _cross(tables: Tables, links: int | None):
+    """Streams parts of buckets, each followed by the nodes of later parts, and compares these with it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, node, cls, sign = None, *([np.zeros(0, np.int64)] * 2), np.zeros((0, 4), np.uint64)
+        for batch in batches:
+            whole = [np.asarray(batch.column(c)) for c in ("key", "part", "probe", "a", "cls", *SIG)]
+            cuts = np.flatnonzero(np.diff(_runs(whole[0], whole[1], whole[2]))) + 1
+            for rows in np.split(np.arange(batch.num_rows), cuts):
+                for k in range(0, len(rows), 512):
+                    own = [c[rows[k : k + 512]] for c in whole]
+                    new = (own[3], own[4], np.stack([x.view(np.uint64) for x in own[5:]], axis=1))
+                    if (own[0][0], own[1][0]) != at:
+                        at, (node, cls, sign) = (own[0][0], own[1][0]), (x[:0] for x in new)
+                    if not own[2][0]:
+                        node, cls, sign = (np.concatenate(x) for x in zip((node, cls, sign), new))
+                        continue
+                    far = np.zeros((len(new[0]), len(node)), np.int16)
+                    for c in range(4):
+                        far += np.bitwise_count(new[2][:, c, None] ^ sign[None, :, c])
+                    near = (far <= tables.distance) & (new[1][:, None] != cls[None, :])
+                    taken = near & (np.cumsum(near, axis=1) <= links) if links else near
+                    p, m = np.nonzero(taken)
+                    q, o = np.nonzero(near & ~taken)
+                    if len(q):
+                        label = _labels(len(node) + len(new[0]), m, p + len(node))
+                        both = np.array(_bridges(label, o, q + len(node)), np.int64).reshape(-1, 2)
+                        m, p = np.concatenate([m, both[:, 0]]), np.concatenate([p, both[:, 1] - len(node)])
+                    yield _pair_rows(node[m], new[0][p])
 
     return run
 
@@ -218,76 +338,90 @@ def _with_end(batches):
     yield None
 
 
-def candidate_pairs(signed: DataFrame, tables: Tables) -> DataFrame:
+def candidate_pairs(entries: DataFrame, tables: Tables, links: int | None) -> DataFrame:
     """Distinct pairs of nodes (a < b) that share a bucket and lie within the distance."""
-    nodes = signed.where("n > 0").groupBy("node").agg(*[F.first(s).alias(s) for s in SIG])
-    entries = nodes.mapInArrow(_entries(tables), "key bigint, more bigint, node bigint, s0 bigint, s1 bigint, s2 bigint, s3 bigint")
     ordered = entries.repartition("key").sortWithinPartitions("key", "more")
-    return written(ordered.mapInArrow(_compare(tables), "a bigint, b bigint").distinct(), "candidates")
+    found = written(ordered.mapInArrow(_compare(tables, links), BUCKETS), "buckets")
+    pairs, members = found.where("b IS NOT NULL").select("a", "b"), found.where("part IS NOT NULL").drop("b")
+    if not members.isEmpty():
+        earlier = members.where("part > 0").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("part") - 1)))
+        rows = members.withColumn("probe", F.lit(False)).unionByName(earlier.withColumn("probe", F.lit(True)))
+        rows = rows.repartition("key", "part").sortWithinPartitions("key", "part", "probe")
+        pairs = pairs.union(rows.mapInArrow(_cross(tables, links), BUCKETS).select("a", "b"))
+    return pairs.distinct()
 
 
-def _with_node(docs: DataFrame, column: str = "node") -> DataFrame:
-    def identify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, "text", 8 << 20):
-            yield batch.append_column(column, pa.array([node_of(t) for t in raw_texts(batch.column("text"))], pa.int64()))
+def _chosen_rows(docs: DataFrame, chosen: DataFrame, how: str) -> DataFrame:
+    """Rows of ``docs`` that are a chosen row, its equals among them.
 
-    return docs.mapInArrow(identify, T.StructType([*docs.schema, T.StructField(column, T.LongType())]))
+    Copies of a text differ in their id, so the join spreads them over all tasks.
+    """
+    docs = _with_text_id(docs)
+    right = chosen.select(F.col("row.doc_id").alias("__id"), F.col("row.text_id").alias("__own"), *[c for c in chosen.columns if c == "node"]).hint("shuffle_hash")
+    return docs.join(right, docs["doc_id"].eqNullSafe(right["__id"]) & (docs["__text"] == right["__own"]), how)
 
 
-def _one_row(docs: DataFrame, chosen: DataFrame) -> DataFrame:
-    """Rows of ``docs`` (with ``doc_id`` and node) that are a chosen (doc_id, node).
+def _with_text_id(docs: DataFrame) -> DataFrame:
+    def identify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, "text", 8 << 20):
+            yield batch.append_column("__text", pa.array([text_id(t) for t in raw_texts(batch.column("text"))], pa.binary()))
 
-    Copies of a text differ in their id, so the join spreads them over all tasks.
-    """
-    right = chosen.select(F.col("doc_id").alias("__id"), F.col("node").alias("__own")).hint("shuffle_hash")
-    return docs.join(right, docs["doc_id"].eqNullSafe(right["__id"]) & (docs["__node"] == right["__own"]), "left_semi")
+    return docs.mapInArrow(identify, T.StructType([*docs.schema, T.StructField("__text", T.BinaryType())]))
 
 
-def verify_pairs(docs: DataFrame, signed: DataFrame, pairs: DataFrame, tables: Tables) -> DataFrame:
-    """The pairs whose shingle sets reach the similarity, computed from one text of each node."""
+def shingle_sets(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """node and shingle set of the nodes in ``pairs``, from one text of each, written once."""
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Hashes()
         for batch in sliced(batches, "text", 2 << 20):
             if len(hashes) > 500_000:
                 hashes = _Hashes()
-            sets = [(shingles(t, hashes) >> np.uint64(16)).astype("<u8").tobytes() for t in raw_texts(batch.column("text"))]
+            sets = [shingles(t, hashes).tobytes() for t in raw_texts(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.binary())], names=["node", "shingles"])
 
+    involved = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    chosen = nodes.select("node", "row").join(involved, "node", "left_semi")
+    texts = _chosen_rows(only(docs, "doc_id", "text"), chosen, "inner").select("node", "text")
+    return written(texts.mapInArrow(collect, "node bigint, shingles binary").dropDuplicates(["node"]), "shingles")
+
+
+def verify_pairs(pairs: DataFrame, sets: DataFrame, tables: Tables) -> DataFrame:
+    """``pairs`` and whether their shingle sets reach the similarity, written once."""
+
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
+            near = []
             for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist()):
                 p, q = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
                 both = len(np.intersect1d(p, q, assume_unique=True))
-                keep.append(both >= tables.similarity * (len(p) + len(q) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                near.append(both >= tables.similarity * (len(p) + len(q) - both))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(near, pa.bool_())], names=["a", "b", "near"])
 
-    involved = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    chosen = signed.groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(involved, "node", "left_semi")
-    texts = _one_row(_with_node(only(docs, "doc_id", "text"), "__node"), chosen).select(F.col("__node").alias("node"), "text")
-    sets = written(texts.mapInArrow(collect, "node bigint, shingles binary").dropDuplicates(["node"]), "shingles")
     joined = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
-    return written(joined.select("a", "b", "x", "y").mapInArrow(judge, "a bigint, b bigint"), "links")
+    return written(joined.select("a", "b", "x", "y").mapInArrow(judge, "a bigint, b bigint, near boolean"), "verified")
 
 
 def components(links: DataFrame, most: int = 60) -> DataFrame:
     """node and class (its least node) of every linked node, by alternating star contraction."""
 
     def star(edges: DataFrame, large: bool) -> DataFrame:
-        """Join each node's neighbours, all greater ones or all lesser ones, to its least neighbour."""
+        """Join each node's neighbours, all greater ones or all lesser ones, to its least neighbour.
+
+        Both sides of the join are read from tables, so that the rows of a hub can be split at run time.
+        """
         both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        least = written(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")), "least")
         joined = both.join(least, "a")
         if large:
             out = joined.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         else:
             out = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
-        return out.where("a <> b").distinct()
+        return written(out.where("a <> b").distinct(), "stars")
 
     edges, before = links.select("a", "b"), None
     for _ in range(most):
-        edges = written(star(star(edges, True), False), "stars")
+        edges = star(star(edges, True), False)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             break
@@ -297,37 +431,72 @@ def components(links: DataFrame, most: int = 60) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("class")).union(edges.select(F.col("b").alias("node"), F.col("b").alias("class")).distinct())
 
 
-def _classes(docs: DataFrame, signed: DataFrame, tables: Tables) -> DataFrame:
-    """node, class, least id and number of rows of every node."""
-    found = components(verify_pairs(docs, signed, candidate_pairs(signed, tables), tables))
-    nodes = signed.groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
-    return nodes.join(found, "node", "left").select("node", F.coalesce("class", "node").alias("class"), "least", "n")
+def _of_classes(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) of different classes that ``pairs`` of nodes join."""
+    for c in ("a", "b"):
+        own = found.select(F.col("node").alias(c), F.col("class").alias("__c"))
+        pairs = pairs.join(own, c, "left").withColumn(c, F.coalesce("__c", c)).drop("__c")
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
+
+
+def _zones(refused: DataFrame, found: DataFrame) -> DataFrame:
+    """node, cls and zone of nodes around refused candidates, where more than one pair is open."""
+    near = written(_of_classes(refused, found), "refused")
+    if near.isEmpty():
+        return near.selectExpr("a AS node", "a AS cls", "a AS zone")
+    zones = components(near).select(F.col("node").alias("class"), F.col("class").alias("zone"))
+    linked = found.join(zones, "class").select("node", F.col("class").alias("cls"), "zone")
+    alone = zones.join(found, "class", "left_anti").select(F.col("class").alias("node"), F.col("class").alias("cls"), "zone")
+    all_of = written(linked.union(alone), "zones")
+    return all_of.join(all_of.groupBy("zone").count().where("count > 2").select("zone"), "zone", "left_semi").select("node", "cls", "zone")
+
+
+def find_classes(docs: DataFrame, nodes: DataFrame, tables: Tables) -> DataFrame:
+    """node and class of every node that is linked to another."""
+    columns = ("node", *SIG)
+    entries = nodes.where("n > 0").select(*columns).mapInArrow(_entries(tables, columns), f"key bigint, more bigint, node bigint, {SIGNS}")
+    pairs = written(candidate_pairs(entries, tables, tables.links), "candidates")
+    sets = shingle_sets(docs, nodes, pairs)
+    tested = verify_pairs(pairs, sets, tables)
+    found = written(components(tested.where("near")), "classes")
+    open_ = _zones(tested.where("NOT near"), found)
+    columns = ("node", "cls", "zone", *SIG)
+    entries = open_.join(nodes.select("node", *SIG), "node").select(*columns).mapInArrow(_entries(tables, columns), f"key bigint, more bigint, node bigint, cls bigint, zone bigint, {SIGNS}")
+    rest = candidate_pairs(entries.withColumn("key", F.xxhash64("key", "zone")).drop("zone"), tables, None)
+    rest = written(rest.join(tested.select("a", "b"), ["a", "b"], "left_anti"), "open-candidates")
+    joined = _of_classes(verify_pairs(rest, sets, tables).where("near").select("a", "b"), found)
+    wider = components(written(joined, "wider"))
+    return found.select("node", "class").union(wider.join(found, "node", "left_anti").select("node", F.col("node").alias("class"))).join(
+        wider.select(F.col("node").alias("class"), F.col("class").alias("__wide")), "class", "left"
+    ).select("node", F.coalesce("__wide", "class").alias("class"))
+
+
+def _classes(docs: DataFrame, signed: DataFrame, tables: Tables | None) -> DataFrame:
+    """Set, class, row and number of rows of every node."""
+    nodes = make_nodes(signed)
+    tables = tables or Tables.sized(nodes.count())
+    found = find_classes(docs, nodes, tables)
+    return nodes.select("node", "set_id", "row", "rows").join(found, "node", "left").select("set_id", F.coalesce("class", "node").alias("class"), "row", F.col("rows").alias("n"))
 
 
 def near_duplicates(docs: DataFrame, tables: Tables | None = None) -> DataFrame:
-    """One row per row of ``docs``: doc_id and class_id, the least id of its class.
-
-    Nodes by themselves keep their least id; only linked ones are joined.
-    """
-    tables = tables or Tables()
+    """One row per row of ``docs``: doc_id and class_id, the least id of its class."""
     signed = sign_documents(docs)
-    classes = _classes(docs, signed, tables)
-    names = classes.groupBy("class").agg(F.min("least").alias("class_id"))
-    of_node = written(classes.join(names, "class").select("node", "class_id", "n"), "node-classes")
-    return join_spread(signed.select("doc_id", "node"), of_node, "node", signed.count()).select("doc_id", "class_id")
+    classes = written(_classes(docs, signed, tables), "node-classes")
+    names = classes.groupBy("class").agg(F.min("row.doc_id").alias("class_id"), F.count("*").alias("n"))
+    of_node = join_spread(classes.select("set_id", "class", F.col("n").alias("rows")), names, "class", classes.count())
+    of_node = written(of_node.select("set_id", "class_id", F.col("rows").alias("n")), "node-names")
+    return join_spread(signed.select("doc_id", "set_id"), of_node, "set_id", signed.count()).select("doc_id", "class_id")
 
 
 @any_names
 def keep_one_of_each(docs: DataFrame, tables: Tables | None = None) -> DataFrame:
-    """The rows of ``docs``, all columns: of each class the row with the least id, nulls first."""
-    tables = tables or Tables()
+    """The rows of ``docs``, all columns: of each class the row with the least id, null ids last."""
     signed = sign_documents(docs)
-    classes = _classes(docs, signed, tables)
-    chosen = classes.groupBy("class").agg(F.min(F.struct("least", "node")).alias("k")).select(F.col("k.least").alias("doc_id"), F.col("k.node").alias("node"))
-    chosen = written(chosen, "chosen")
-    kept = _one_row(_with_node(docs, "__node"), chosen)
-    repeated = signed.groupBy("doc_id", "node").count().where("count > 1")
+    chosen = written(_classes(docs, signed, tables).groupBy("class").agg(F.min("row").alias("row")), "chosen")
+    kept = _chosen_rows(docs, chosen, "left_semi")
+    repeated = signed.groupBy("doc_id", "text_id").count().where("count > 1")
     if not repeated.isEmpty():
-        first = Window.partitionBy("doc_id", "__node").orderBy(*[F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")])
+        first = Window.partitionBy("doc_id", "__text").orderBy(*[F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")])
         kept = kept.withColumn("__nth", F.row_number().over(first)).where("__nth = 1")
     return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
