@@ -3,10 +3,14 @@
 Base kinds are found by patterns alone: ``assign`` (a secret word given a value), ``access`` (an
 access identifier) and ``hex`` (a long hexadecimal run). Weak parts are identifiers (``id``), free
 standing keys (``key``) and endpoints (``endpoint``); each is common in clean text, so it is reported
-only if complementary parts lie in the same scope, a block of text without a blank line (and, where
-``reach`` is a number, within so many code points): an identifier needs a secret, a key an identifier or an endpoint, and an
-endpoint both an identifier and a secret. The join of the intervals happens within the row, where
-all parts of a scope are; nothing is shuffled.
+only if complementary parts lie in the same scope, a block of text without a blank line: an identifier
+needs a secret, a key an identifier or an endpoint, and an endpoint both an identifier and a secret. A
+weak part that overlaps a base span is that span and no part of its own.
+
+Parts are found within the row and written. The interval join is a sweep: the intervals of a text
+that has weak parts are sorted by start in both directions, and running values give each part its
+scope and the base spans that reach into it; what a scope holds then decides. So a text costs
+n log n in its parts, and only intervals, never texts, are shuffled.
 
 Positions are code points, ends exclusive. They follow from the lengths of matches and of the text
 between them, summed in two levels so that texts with very many matches stay affordable.
@@ -17,14 +21,11 @@ their own; extra columns are ignored by :func:`secret_report` and kept by :func:
 
 from __future__ import annotations
 
-import functools
-import operator
-from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import any_names, let, only
+from .common import any_names, let, only, written
 
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"
@@ -35,15 +36,11 @@ ENDPOINT = r"""(?i)(?:(?:https?|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb(?:\+sr
 BLANK = r"\n[\x20\t\r]*\n"
 KINDS = ("assign", "access", "hex", "id", "key", "endpoint")
 SPAN = "array<struct<start:int,rank:int,end:int>>"
+BASE, BREAK = 3, len(KINDS)
+MASK = "[SECRET]"
 BLOCK = 128
 
 
-@dataclass(frozen=True)
-class Linking:
-    reach: int | None = 300  # None: the whole scope
-    mask: str = "[SECRET]"
-
-
 def _total(numbers: Column) -> Column:
     return F.aggregate(numbers, F.lit(0), lambda a, x: a + x)
 
@@ -84,76 +81,58 @@ def _set(text: Column) -> Column:
     return text.contains(":") | text.contains("=")
 
 
-def _near(part: Column, others: Column, breaks: Column, reach: int) -> Column:
-    """Whether one of ``others`` is within reach of ``part`` with no blank line between them."""
-
-    def joined(o: Column) -> Column:
-        low, high = F.least(part["end"], o["end"]), F.greatest(part["start"], o["start"])
-        return (o["start"] <= part["end"] + reach) & (o["end"] + reach >= part["start"]) & ~F.exists(breaks, lambda b: (b["start"] >= low) & (b["end"] <= high))
-
-    return F.exists(others, joined)
+def credential_parts(text: Column) -> Column:
+    """A struct of the spans of every kind and, where there are weak ones, of blank lines (``breaks``)."""
 
+    def all_of(t: Column) -> Column:
+        base = F.struct(
+            _spans(t, ASSIGN, 0, lambda m: F.length(F.regexp_extract(m, ASSIGN, 2)) >= 6, _set(t)).alias("assign"),
+            _spans(t, ACCESS, 1, gate=t.contains("AKIA")).alias("access"), _spans(t, HEX, 2).alias("hex"),
+            _spans(t, IDENTIFIER, 3, gate=_set(t)).alias("id"), _spans(t, ENDPOINT, 5, gate=_set(t)).alias("endpoint"),
+        )
 
-def _scope(part: Column, breaks: Column) -> Column:
-    """The number of blank lines before ``part``; no part holds one."""
-    return F.size(F.filter(breaks, lambda b: b["start"] < part["start"]))
-
-
-def _apart(parts: Column, base: Column) -> Column:
-    """Parts that overlap no base span."""
-    return F.filter(parts, lambda p: ~F.exists(base, lambda b: (b["start"] < p["end"]) & (p["start"] < b["end"])))
-
+        def with_keys(b: Column) -> Column:
+            partners = F.size(b["id"]) + F.size(b["endpoint"]) + F.size(b["access"]) > 0  # without them no key is reported
 
-def credential_spans(text: Column, linking: Linking | None = None) -> Column:
-    """A struct of ``assign``, ``access`` and ``hex`` spans and of ``linked`` ones."""
-    linking = linking or Linking()
-    none = F.array().cast(SPAN)
+            def parted(key: Column) -> Column:
+                own = [key.alias(k) if k == "key" else b[k].alias(k) for k in KINDS]
+                some = F.size(b["id"]) + F.size(key) + F.size(b["endpoint"]) > 0
+                return F.struct(*own, F.when(some, _spans(t, BLANK, BREAK)).otherwise(F.array().cast(SPAN)).alias("breaks"))
 
-    def linked(t: Column, base: Column) -> Column:
-        strong = F.concat(base["assign"], base["hex"])
+            return let(_spans(t, KEY, 4, gate=partners), parted)
 
-        def reported(w: Column) -> Column:
-            all_base = F.concat(strong, base["access"])
+        return let(base, with_keys)
 
-            def judge(v: Column) -> Column:
-                ids, secrets = F.concat(base["access"], v["id"]), F.concat(strong, v["key"])
-                if linking.reach is None:
-                    scopes = F.struct(*[F.array_distinct(F.transform(x, lambda p: _scope(p, v["breaks"]))).alias(k) for x, k in ((ids, "ids"), (secrets, "secrets"), (v["endpoint"], "endpoint"))])
-                    return let(scopes, lambda c: in_scopes(v, c))
-                near = lambda p, others: _near(p, others, v["breaks"], linking.reach)
-                return F.concat(
-                    F.filter(v["id"], lambda p: near(p, secrets)),
-                    F.filter(v["key"], lambda p: near(p, ids) | near(p, v["endpoint"])),
-                    F.filter(v["endpoint"], lambda p: near(p, ids) & near(p, secrets)),
-                )
+    return let(F.coalesce(text, F.lit("")), all_of)
 
-            def in_scopes(v: Column, c: Column) -> Column:
-                there = lambda p, *kinds: let(_scope(p, v["breaks"]), lambda s: functools.reduce(operator.and_, [F.array_contains(c[k], s) for k in kinds]))
-                return F.concat(
-                    F.filter(v["id"], lambda p: there(p, "secrets")),
-                    F.filter(v["key"], lambda p: there(p, "ids") | there(p, "endpoint")),
-                    F.filter(v["endpoint"], lambda p: there(p, "ids", "secrets")),
-                )
 
-            parts = [_apart(w[k], all_base).alias(k) for k in ("id", "key", "endpoint")]
-            return let(F.struct(*parts, _spans(t, BLANK, 0).alias("breaks")), judge)
+def _numbered(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """Columns of ``docs`` with a row number and the parts of its texts, written once."""
+    own = docs.select(*[F.col(f"`{c}`") for c in keep], credential_parts(F.col("text")).alias("__parts"))
+    return written(own.withColumn("__row", F.monotonically_increasing_id()), "secret-parts")
 
-        def with_keys(w: Column) -> Column:
-            partners = F.size(w["id"]) + F.size(w["endpoint"]) + F.size(base["access"]) > 0  # without them no key is reported
-            weak = F.struct(w["id"].alias("id"), _spans(t, KEY, 4, gate=partners).alias("key"), w["endpoint"].alias("endpoint"))
-            return let(weak, lambda v: F.when(F.size(v["id"]) + F.size(v["key"]) + F.size(v["endpoint"]) > 0, reported(v)).otherwise(none))
 
-        return let(F.struct(_spans(t, IDENTIFIER, 3, gate=_set(t)).alias("id"), _spans(t, ENDPOINT, 5, gate=_set(t)).alias("endpoint")), with_keys)
+def _has_weak() -> Column:
+    return F.size("__parts.id") + F.size("__parts.key") + F.size("__parts.endpoint") > 0
 
-    def all_of(t: Column) -> Column:
-        base = F.struct(
-            _spans(t, ASSIGN, 0, lambda m: F.length(F.regexp_extract(m, ASSIGN, 2)) >= 6, _set(t)).alias("assign"),
-            _spans(t, ACCESS, 1, gate=t.contains("AKIA")).alias("access"),
-            _spans(t, HEX, 2).alias("hex"),
-        )
-        return let(base, lambda b: F.struct(b["assign"].alias("assign"), b["access"].alias("access"), b["hex"].alias("hex"), linked(t, b).alias("linked")))
 
-    return let(F.coalesce(text, F.lit("")), all_of)
+def linked_spans(numbered: DataFrame) -> DataFrame:
+    """``__row`` and the weak spans whose scope holds what complements them."""
+    intervals = numbered.where(_has_weak()).select("__row", F.inline(F.concat(*[F.col(f"__parts.{k}") for k in (*KINDS, "breaks")])))
+    text = Window.partitionBy("__row")
+    ahead = text.orderBy("start").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    back = text.orderBy(F.desc("start")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    rank, base = F.col("rank"), F.col("rank") < BASE
+    swept = intervals.select(
+        "*", F.count_if(rank == BREAK).over(ahead).alias("scope"),
+        F.max(F.when(base, F.col("end"))).over(ahead).alias("reached"), F.min(F.when(base, F.col("start"))).over(back).alias("next"),
+    )
+    apart = (F.coalesce("reached", F.lit(0)) <= F.col("start")) & (F.coalesce("next", F.col("end")) >= F.col("end"))
+    scope = Window.partitionBy("__row", "scope")
+    holds = lambda *ranks: F.bool_or(rank.isin(*ranks)).over(scope)
+    judged = swept.where((rank < BREAK) & (base | apart)).select("*", holds(1, 3).alias("ids"), holds(0, 2, 4).alias("secrets"), holds(5).alias("endpoints"))
+    linked = judged.where("rank = 3 AND secrets OR rank = 4 AND (ids OR endpoints) OR rank = 5 AND ids AND secrets")
+    return linked.groupBy("__row").agg(F.collect_list(F.struct("start", "rank", "end")).alias("__linked"))
 
 
 def _named(spans: Column) -> Column:
@@ -161,32 +140,39 @@ def _named(spans: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(spans), name), ",")
 
 
-def secret_report(docs: DataFrame, linking: Linking | None = None) -> DataFrame:
+def secret_report(docs: DataFrame) -> DataFrame:
     """Per row of ``docs``: counts of base kinds, the digest of base spans and all spans."""
-    found = only(docs, "doc_id", "text").select("doc_id", credential_spans(F.col("text"), linking).alias("found"))
-    base = F.concat("found.assign", "found.access", "found.hex")
-    count = lambda k: F.size(f"found.{k}").cast("bigint").alias(f"n_{k}")
-    return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(_named(base), 256).alias("base_sha256"), _named(F.concat(base, "found.linked")).alias("spans"))
+    numbered = _numbered(only(docs, "doc_id", "text"), ["doc_id"])
+    found = numbered.join(linked_spans(numbered), "__row", "left")
+    base = F.concat("__parts.assign", "__parts.access", "__parts.hex")
+    every = F.concat(base, F.coalesce("__linked", F.array().cast(SPAN)))
+    count = lambda k: F.size(f"__parts.{k}").cast("bigint").alias(f"n_{k}")
+    return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(_named(base), 256).alias("base_sha256"), _named(every).alias("spans"))
 
 
 @any_names
-def mask_secrets(docs: DataFrame, linking: Linking | None = None) -> DataFrame:
-    """``docs`` with every reported span of ``text`` replaced; ``n_chars``, where there, follows."""
-    linking = linking or Linking()
+def mask_secrets(docs: DataFrame, mask: str = MASK) -> DataFrame:
+    """``docs`` with every reported span of ``text`` replaced; ``n_chars``, where there, follows.
+
+    Only rows with weak parts meet the linked spans in a shuffle.
+    """
+    numbered = _numbered(docs, docs.columns)
+    alone = numbered.where(~_has_weak()).withColumn("__linked", F.array().cast(SPAN))
+    weak = numbered.where(_has_weak()).join(linked_spans(numbered), "__row", "left")
     text = F.col("text")
 
-    def masked(spans: Column) -> Column:
+    def masked(spans: Column, ends: Column) -> Column:
+        reached = lambda n: F.coalesce(F.array_max(F.slice(ends, F.lit(1), n)), F.lit(0))
+
         def cut(s: Column, i: Column) -> Column:
-            before = F.aggregate(F.slice(spans, F.lit(1), i), F.lit(0), lambda a, x: F.greatest(a, x["end"]))
-            piece = lambda b: F.when(s["start"] >= b, F.concat(F.substring(text, b + 1, s["start"] - b), F.lit(linking.mask))).otherwise("")
-            return let(before, piece)
+            piece = lambda b: F.when(s["start"] >= b, F.concat(F.substring(text, b + 1, s["start"] - b), F.lit(mask))).otherwise("")
+            return let(reached(i), piece)
 
-        last = F.aggregate(spans, F.lit(0), lambda a, x: F.greatest(a, x["end"]))
-        return F.concat(F.array_join(F.transform(spans, cut), ""), let(last, lambda b: F.substring(text, b + 1, F.length(text))))
+        return F.concat(F.array_join(F.transform(spans, cut), ""), let(reached(F.size(ends)), lambda b: F.substring(text, b + 1, F.length(text))))
 
-    every = let(credential_spans(text, linking), lambda f: F.array_sort(F.concat(f["assign"], f["access"], f["hex"], f["linked"])))
-    new = let(every, lambda s: F.when(F.size(s) > 0, masked(s)).otherwise(text))
-    out = docs.select(*[new.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns])
+    every = F.array_sort(F.concat("__parts.assign", "__parts.access", "__parts.hex", F.coalesce("__linked", F.array().cast(SPAN))))
+    new = let(every, lambda s: F.when(F.size(s) > 0, let(F.transform(s, lambda x: x["end"]), lambda e: masked(s, e))).otherwise(text))
+    out = alone.unionByName(weak).select(*[new.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns])
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out
