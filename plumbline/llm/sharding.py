@@ -65,24 +65,33 @@ def keyed(docs: DataFrame) -> DataFrame:
     )
 
 
+def _whole(head: tuple[int, ...], rest: int) -> tuple[int, int, int]:
+    return (*head, *(rest,) * (3 - len(head)))
+
+
 def _round(slim: DataFrame, spots: list[tuple[tuple[int, ...], int, int]], bits: int) -> dict:
-    """Exact bytes per candidate interval of each spot (fixed components, low, high)."""
-    parts = []
-    for i, (fixed, low, high) in enumerate(spots):
-        width = max(1, -(-(high - low + 1) >> bits))
-        key = F.col(PARTS[len(fixed)])
-        here = key.between(low, high)
-        for p, v in zip(PARTS, fixed):
-            here &= F.col(p) == F.lit(v).cast("bigint")
-        # unsigned distance from low, exact in decimals
-        distance = key.cast("decimal(20,0)") - F.lit(low).cast("decimal(20,0)")
-        parts.append((here, F.lit(i), F.floor(distance / F.lit(width).cast("decimal(20,0)")).cast("int") if width > 1 else distance.cast("int"), key))
-    spot, cell, value = F.lit(None).cast("int"), F.lit(None).cast("int"), F.lit(None).cast("bigint")
-    for here, i, c, key in reversed(parts):
-        spot, cell, value = F.when(here, i).otherwise(spot), F.when(here, c).otherwise(cell), F.when(here, key).otherwise(value)
+    """Exact bytes per candidate interval of each spot (fixed components, low, high).
+
+    Spots are apart from each other, so a row finds its own by binary search; its candidate follows
+    from the spot's numbers.
+    """
+    spots = sorted(spots, key=lambda x: _whole((*x[0], x[1]), LOW))
+    starts = [Limit(_whole((*fixed, low), LOW)) for fixed, low, _ in spots]
+    ends = [_whole((*fixed, high), HIGH) for fixed, _, high in spots]
+    of_spot = lambda values: F.get(F.array(*[F.lit(v).cast("bigint") for v in values]), F.col("spot"))
+    level = of_spot([len(fixed) for fixed, _, _ in spots])
+    value = F.when(level == 0, F.col("k0")).when(level == 1, F.col("k1")).otherwise(F.col("k2"))
+    a, b, c = (F.col(p) for p in PARTS)
+    x, y, z = (of_spot([e[i] for e in ends]) for i in range(3))
+    inside = (a < x) | ((a == x) & ((b < y) | ((b == y) & (c <= z))))
+    # unsigned distance from low, exact in decimals
+    distance = F.col("value").cast("decimal(20,0)") - of_spot([low for _, low, _ in spots]).cast("decimal(20,0)")
+    widths = [max(1, -(-(high - low + 1) >> bits)) for _, low, high in spots]
+    width = F.get(F.array(*[F.lit(w).cast("decimal(20,0)") for w in widths]), F.col("spot"))
     counted = (
-        slim.select("size", spot.alias("spot"), cell.alias("cell"), value.alias("value"))
-        .where("spot is not null").groupBy("spot", "cell").agg(F.sum("size").alias("bytes"), F.min("value").alias("lo"), F.max("value").alias("hi"))
+        slim.select("size", *PARTS, (_shard(starts, 0, len(starts)) - 1).alias("spot")).where((F.col("spot") >= 0) & inside)
+        .select("size", "spot", value.alias("value")).withColumn("cell", F.floor(distance / width).cast("int"))
+        .groupBy("spot", "cell").agg(F.sum("size").alias("bytes"), F.min("value").alias("lo"), F.max("value").alias("hi"))
     )
     found: dict[int, list] = {}
     for r in counted.collect():
@@ -153,10 +162,12 @@ def assign_shards(docs: DataFrame, shards: int, tolerance: float = 0.005, rows_p
 
 @any_names
 def shard_documents(docs: DataFrame, shards: int, tolerance: float = 0.005) -> DataFrame:
-    """All columns of ``docs`` and their shard, moved once so that each shard's rows lie together in key order."""
-    full = keyed(docs)
-    slim = written(full.select("size", *PARTS), "shard-keys")
-    total = slim.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("bytes")).first()["bytes"]
-    limits = find_limits(slim, total, shards, tolerance) if total else []
+    """All columns of ``docs`` and their shard, moved once: partition i holds shard i, in key order.
+
+    Rows are written with their keys first, so that limits and the move see the same row numbers.
+    """
+    full = written(keyed(docs), "shard-rows")
+    total = full.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("bytes")).first()["bytes"]
+    limits = find_limits(full.select("size", *PARTS), total, shards, tolerance) if total else []
     placed = full.withColumn("shard", _shard(limits, 0, len(limits)).cast("int"))
-    return placed.repartitionByRange(shards, "shard", *PARTS).sortWithinPartitions("shard", *PARTS).drop("size", *PARTS)
+    return placed.repartitionById(shards, "shard").sortWithinPartitions(*PARTS).drop("size", *PARTS)

@@ -3,6 +3,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from plumbline.llm import sharding as H
 
@@ -55,5 +56,37 @@ def test_documents_move_whole(spark):
     out = H.shard_documents(spark.createDataFrame(rows, SCHEMA).repartition(4), 8)
     assert out.columns == ["doc_id", "text", "Extra", "shard"]
     assert Counter((r.doc_id, r.text, r.Extra) for r in out.collect()) == Counter(rows)
+    own = out.withColumn("p", F.spark_partition_id()).select("p", "shard").distinct().collect()
+    assert sorted((r.p, r.shard) for r in own) == [(i, i) for i in range(8)]
     clash = H.shard_documents(spark.createDataFrame([(1, "a", 2, 3)], "doc_id bigint, text string, Size int, k0 int"), 8)
     assert clash.columns == ["doc_id", "text", "Size", "k0", "shard"] and clash.first()[:4] == (1, "a", 2, 3)
+
+
+def cuts_by_hand(keys, sizes, shards):
+    """Bytes below the best limit of each shard, where limits may lie at any key."""
+    order, at, below = sorted(zip(keys, sizes)), [0], 0
+    for i, (k, n) in enumerate(order):
+        below += n
+        if i + 1 == len(order) or order[i + 1][0] != k:
+            at.append(below)
+    return [min(at, key=lambda b: (abs(b - round(below * s / shards)), b)) for s in range(1, shards)]
+
+
+@pytest.mark.parametrize(("shards", "bits"), [(7, 10), (40, 3), (300, 6)])
+def test_limits_are_the_nearest_there_are(spark, shards, bits):
+    """With no tolerance each limit has the bytes below it that brute force over all keys finds."""
+    rng = random.Random(shards)
+    rows = [(rng.choice([5, -7, H.LOW, H.HIGH, rng.getrandbits(63)]), rng.choice([0, H.HIGH, rng.getrandbits(62)]), i - 700, rng.randrange(16, 900)) for i in range(1500)]
+    slim = spark.createDataFrame(rows, "k0 bigint, k1 bigint, k2 bigint, size bigint")
+    limits = H.find_limits(slim, sum(r[3] for r in rows), shards, 0.0, bits)
+    found = [sum(n for *k, n in rows if tuple(k) < limit.key) for limit in limits]
+    assert found == cuts_by_hand([r[:3] for r in rows], [r[3] for r in rows], shards)
+    placed = slim.withColumn("shard", H._shard(limits, 0, len(limits))).collect()
+    assert all(r.shard == sum(limit.key <= (r.k0, r.k1, r.k2) for limit in limits) for r in placed)
+
+
+@pytest.mark.parametrize("kind", ["string", "smallint", "int"])
+def test_ids_of_other_types(spark, kind):
+    ids = ["7", "8", None] if kind == "string" else [7, 8, None]
+    got = H.assign_shards(spark.createDataFrame([(i, "x") for i in ids], f"doc_id {kind}, text string"), 3).collect()
+    assert sorted((r.doc_id for r in got), key=repr) == sorted(ids, key=repr)
