@@ -29,6 +29,7 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import only
 
@@ -407,7 +408,8 @@ def format_conversations(conversations: DataFrame, template: str = CHAT) -> Data
 
     A formatted conversation is one value, so its length is bounded by a column's, 2 GB.
     """
-    kind = only(conversations, "conv_id").schema[0].dataType.simpleString()
+    kind = only(conversations, "conv_id").schema[0].dataType
+    arrow = to_arrow_type(kind)
     fold(parse(template))  # errors show here and not in a task
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -423,23 +425,23 @@ def format_conversations(conversations: DataFrame, template: str = CHAT) -> Data
                 parts.append(text)
                 at += len(text)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([conv]), pa.array(["".join(parts)]), pa.array([[{"start": a, "end": b} for a, b in spans]], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))],
+                [pa.array([conv], arrow), pa.array(["".join(parts)], pa.string()), pa.array([[{"start": a, "end": b} for a, b in spans]], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))],
                 names=["conv_id", "formatted", "spans"],
             )
 
-    return _sorted(conversations).mapInArrow(run, f"conv_id {kind}, formatted string, spans array<struct<start:bigint,end:bigint>>")
+    return _sorted(conversations).mapInArrow(run, f"conv_id {kind.simpleString()}, formatted string, spans array<struct<start:bigint,end:bigint>>")
 
 
 def format_report(conversations: DataFrame, template: str = CHAT) -> DataFrame:
     """Digests of each conversation, read back from its formatted form as that is produced."""
     kind = only(conversations, "conv_id").schema[0].dataType
+    arrow = to_arrow_type(kind)
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         render, out = compile_template(template), []
 
         def batch() -> pa.RecordBatch:
-            arrow = pa.int32() if kind.simpleString() == "int" else pa.int64() if kind.simpleString() == "bigint" else pa.string()
             kinds = [arrow, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
 

@@ -79,3 +79,15 @@ def test_formatted(spark):
     out = C.format_conversations(spark.createDataFrame([(1, 0, "user", "q", ""), (1, 1, "assistant", "ans<s>", "")], SCHEMA)).first()
     assert out.formatted == "<|im_start|>user\nq<|im_end|>\n<|im_start|>assistant\nans<\\s><|im_end|>\n"
     assert [out.formatted[s.start : s.end] for s in out.spans] == ["ans<\\s>"]
+
+
+@pytest.mark.parametrize("kind", ["string", "smallint", "int", "bigint"])
+def test_ids_of_any_type_and_none(spark, kind):
+    one = "a" if kind == "string" else 1
+    rows = [(one, 0, "user", "q"), (one, 1, "assistant", None), (None, 0, "assistant", "x"), (None, 1, None, "")]
+    turns = spark.createDataFrame(rows, f"conv_id {kind}, turn int, role string, text string")
+    want = {one: expected([("user", "q"), ("assistant", "")]), None: expected([("assistant", "x"), ("", "")])}
+    assert {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in C.format_report(turns).collect()} == want
+    made = C.format_conversations(turns)
+    assert made.schema["conv_id"].dataType == turns.schema["conv_id"].dataType
+    assert {r.conv_id: [r.formatted[s.start : s.end] for s in r.spans] for r in made.collect()} == {one: [], None: ["x"]}
