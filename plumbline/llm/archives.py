@@ -227,10 +227,17 @@ def _read(folder: str, name: str) -> Iterator[tuple[int, int, bytes]]:
         yield from members(f)
 
 
-def _file_tasks(manifest: DataFrame) -> DataFrame:
-    """A row per archive, spread so that few share a task."""
-    n = manifest.count()
-    return manifest.repartition(max(1, min(n, 10_000)), "name")
+def _file_tasks(rows: DataFrame, files: int) -> DataFrame:
+    """Rows of one archive in one task, and few archives in a task; their metadata are too small to tell."""
+    return rows.repartition(max(1, min(4 * files, 40_000)), "name")
+
+
+def _page_field(page: str | None) -> bytes:
+    return b"" if page is None else b"X-Page-Id: %s\r\n" % quote(page, safe="").encode()
+
+
+def _page_of(field: bytes | str | None) -> str | None:
+    return None if field is None else unquote(field.decode() if isinstance(field, bytes) else field)
 
 
 def write_arcs(pages: DataFrame, folder: str) -> DataFrame:
@@ -242,18 +249,19 @@ def write_arcs(pages: DataFrame, folder: str) -> DataFrame:
         for batch in sliced(batches, "html", 8 << 20):
             for page, url, html in zip(batch.column("page_id").to_pylist(), raw_texts(batch.column("url")), raw_texts(batch.column("html"))):
                 payload = html or b""
-                head = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nX-Page-Id: %s\r\nContent-Length: %d\r\n\r\n" % (b"" if page is None else str(page).encode(), len(payload))
+                head = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n%sContent-Length: %d\r\n\r\n" % (_page_field(page), len(payload))
                 record = ArcRecord(url or b"-", b"0.0.0.0", DATE, b"text/html", head + payload)
                 roller.add(lambda at, name: arc_record(version, record, at, name))  # noqa: B023
         roller.close()
         yield pa.RecordBatch.from_arrays([pa.array(roller.done, pa.string())], names=["name"])
 
-    return written(only(pages, "page_id", "url", "html").mapInArrow(run, "name string"), "arc-manifest")
+    slim = only(pages, "page_id", "url", "html").withColumn("page_id", F.col("page_id").cast("string"))
+    return written(slim.mapInArrow(run, "name string"), "arc-manifest")
 
 
-def index_arcs(manifest: DataFrame, folder: str) -> DataFrame:
-    """Parse legacy archives: a row per record with its place, page, payload length and digest."""
-    schema = "name string, offset bigint, page_id bigint, payload_bytes bigint, payload_digest string"
+def index_arcs(manifest: DataFrame, folder: str, kind: str = "bigint") -> DataFrame:
+    """Parse legacy archives: a row per record with its place, page of type ``kind``, payload length and digest."""
+    schema = "name string, offset bigint, page_id string, payload_bytes bigint, payload_digest string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -264,13 +272,13 @@ def index_arcs(manifest: DataFrame, folder: str) -> DataFrame:
                         version = arc_version(raw)
                         continue
                     headers, _, payload = split_http(parse_arc(raw, version).body)
-                    page = headers.get(b"x-page-id")
-                    rows.append((name, offset, int(page) if page else None, len(payload), digest(payload)))
-                kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
+                    rows.append((name, offset, _page_of(headers.get(b"x-page-id")), len(payload), digest(payload)))
+                kinds = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string()]
                 columns = list(zip(*rows)) or [()] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["name", "offset", "page_id", "payload_bytes", "payload_digest"])
 
-    return written(_file_tasks(manifest).mapInArrow(run, schema), "arc-index")
+    found = _file_tasks(manifest, manifest.count()).mapInArrow(run, schema)
+    return written(found.withColumn("page_id", F.col("page_id").cast(kind)), "arc-index")
 
 
 def choose_responses(index: DataFrame, least: int = 0) -> DataFrame:
@@ -278,7 +286,7 @@ def choose_responses(index: DataFrame, least: int = 0) -> DataFrame:
 
     Records with payloads under ``least`` bytes are all responses of their own.
     """
-    rank = F.struct(F.coalesce("page_id", F.lit(-(1 << 63))).alias("rank"), "name", "offset", "page_id")
+    rank = F.struct(F.col("page_id").isNotNull().alias("named"), "page_id", "name", "offset")
     shared = index.where(F.col("payload_bytes") >= least)
     groups = written(shared.groupBy("payload_digest").agg(F.max(rank).alias("first"), F.count("*").alias("n")), "payload-groups")
     total = index.count()
@@ -288,10 +296,10 @@ def choose_responses(index: DataFrame, least: int = 0) -> DataFrame:
     return joined.withColumn("first", F.when((found["name"] == F.col("name")) & (found["offset"] == F.col("offset")), None).otherwise(found)).drop("found")
 
 
-def write_warcs(records: DataFrame, arcs: str, folder: str) -> DataFrame:
+def write_warcs(records: DataFrame, arcs: str, folder: str, files: int) -> DataFrame:
     """Convert legacy records to WARC files, a file's records in one task; their manifest."""
-    slim = records.select("name", "offset", "payload_digest", F.col("first.name").alias("to_name"), F.col("first.offset").alias("to_offset"), F.col("first.page_id").alias("to_page"))
-    slim = slim.repartition("name").sortWithinPartitions("name", "offset")
+    slim = records.select("name", "offset", "payload_digest", F.col("first.name").alias("to_name"), F.col("first.offset").alias("to_offset"), F.col("first.page_id").cast("string").alias("to_page"))
+    slim = _file_tasks(slim, files).sortWithinPartitions("name", "offset")
 
     def info(name: str) -> bytes:
         return warc_record("warcinfo", [("WARC-Record-ID", record_id(name, -1)), ("WARC-Date", warc_date(DATE)), ("WARC-Filename", name), ("Content-Type", "application/warc-fields")], b"software: plumbline\r\nformat: WARC File Format 1.1\r\n")
@@ -304,8 +312,8 @@ def write_warcs(records: DataFrame, arcs: str, folder: str) -> DataFrame:
         ]
         if row["to_name"] is None:
             return warc_record("response", fields, head + payload)
-        page = "" if row["to_page"] is None else str(row["to_page"])
-        fields += [("WARC-Refers-To", record_id(row["to_name"], row["to_offset"])), ("X-Refers-To-Page", page), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")]
+        page = [] if row["to_page"] is None else [("X-Refers-To-Page", quote(row["to_page"], safe=""))]
+        fields += [("WARC-Refers-To", record_id(row["to_name"], row["to_offset"])), *page, ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")]
         return warc_record("revisit", fields, head)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -326,9 +334,9 @@ def write_warcs(records: DataFrame, arcs: str, folder: str) -> DataFrame:
     return written(slim.mapInArrow(run, "name string"), "warc-manifest")
 
 
-def read_warcs(manifest: DataFrame, folder: str) -> DataFrame:
+def read_warcs(manifest: DataFrame, folder: str, kind: str = "bigint") -> DataFrame:
     """Read WARC files: page, payload length and digest, type and the page of the response."""
-    schema = "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint"
+    schema = "page_id string, payload_bytes bigint, payload_digest string, record_type string, refers_to string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -343,18 +351,20 @@ def read_warcs(manifest: DataFrame, folder: str) -> DataFrame:
                     size = int(headers[b"content-length"])
                     if fields["warc-type"] == "response" and (len(payload) != size or digest(payload) != stated):
                         raise ArchiveError(f"{fields['warc-record-id']}: the payload is not the one described")
-                    page, to = headers.get(b"x-page-id"), fields.get("x-refers-to-page")
-                    rows.append((int(page) if page else None, size, stated, fields["warc-type"], int(to) if to else None))
-                kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
+                    rows.append((_page_of(headers.get(b"x-page-id")), size, stated, fields["warc-type"], _page_of(fields.get("x-refers-to-page"))))
+                kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string()]
                 columns = list(zip(*rows)) or [()] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=[f.split(" ")[0] for f in schema.split(", ")])
 
-    return _file_tasks(manifest).mapInArrow(run, schema)
+    found = _file_tasks(manifest, manifest.count()).mapInArrow(run, schema)
+    return found.select(*[F.col(c).cast(kind).alias(c) if c in ("page_id", "refers_to") else c for c in found.columns])
 
 
 def archive_pages(pages: DataFrame, least: int = 0) -> DataFrame:
     """Write pages as legacy archives, convert them to WARC and read the result back."""
     spark = pages.sparkSession
     arcs, warcs = shared_path(spark, "arcs"), shared_path(spark, "warcs")
-    index = index_arcs(write_arcs(pages, arcs), arcs)
-    return read_warcs(write_warcs(choose_responses(index, least), arcs, warcs), warcs)
+    kind = only(pages, "page_id").schema[0].dataType.simpleString()
+    made = write_arcs(pages, arcs)
+    index = index_arcs(made, arcs, kind)
+    return read_warcs(write_warcs(choose_responses(index, least), arcs, warcs, made.count()), warcs, kind)

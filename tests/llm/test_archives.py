@@ -68,3 +68,12 @@ def test_hot_payload_and_minimum(spark):
 
 def test_no_pages(spark):
     assert A.archive_pages(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+@pytest.mark.parametrize("kind", ["string", "smallint", "int"])
+def test_ids_of_other_types(spark, kind):
+    make = (lambda i: f"é {i}\r\n:") if kind == "string" else int
+    rows = [(make(1), "x"), (make(2), "x"), (make(3), None), (None, "z"), (None, "z")] + ([("", "x"), ("", "q")] if kind == "string" else [])
+    got = A.archive_pages(spark.createDataFrame([(p, "u", h) for p, h in rows], f"page_id {kind}, url string, html string"))
+    assert got.schema["page_id"].dataType == got.schema["refers_to"].dataType and got.dtypes[0][1] == kind
+    assert sorted(map(tuple, got.collect()), key=repr) == expected(rows)
