@@ -22,13 +22,16 @@ _own: dict[str, str] = {}
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share, from ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (tests on one machine) is a temporary folder made.
+    Where that setting is absent, as in tests on one machine, a temporary folder is made; on a cluster
+    this is refused, as executors would not see each other's files there.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(named)
         whole = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(at).toString()
         return whole.replace("file:/", "file:///", 1) if re.match("file:/[^/]", whole) else whole
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     if "dir" not in _own:
         _own["dir"] = tempfile.mkdtemp(prefix="plumbline-")
         atexit.register(shutil.rmtree, _own["dir"], True)
