@@ -1,5 +1,6 @@
 """Quality rules, decontamination and secret scans against plain Python."""
 
+import datetime
 import hashlib
 import random
 import re
@@ -119,7 +120,7 @@ def contaminated(seed=2):
 def test_contamination(spark):
     rows, items = contaminated()
     bench = spark.createDataFrame([(i, t, "x") for i, t in items], "item_id bigint, text string, Doc_id string")
-    for options in ({}, {"segment_bytes": 1, "block_bytes": 1}):
+    for options in ({}, {"segment_bytes": 1, "block_bytes": 1}, {"block_bytes": 300, "keep_bytes": 0}):
         got = X.contamination_report(frame(spark, rows), bench, **options).collect()
         keep = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")
         assert sorted(((r.doc_id, *[r[k] for k in keep]) for r in got), key=repr) == sorted(((d, *contamination(t, items)) for d, t in rows), key=repr)
@@ -300,3 +301,15 @@ def test_many_parts_in_one_scope_take_little_time(spark):
     found = S.secret_report(frame(spark, [(1, lock)])).first()
     assert found.n_hex == 20_000 and found.spans.count("key:") == 20_000
     assert time.time() - began < 60
+
+
+@pytest.mark.parametrize("kind", ["string", "smallint", "int", "date"])
+def test_index_ids_of_other_types(spark, kind):
+    make = {"string": str, "date": lambda i: datetime.date(2020, 1, i)}.get(kind, int)
+    rows = [(make(1), "a b c"), (make(2), "x a b c y"), (None, "a b c"), (None, None), (make(3), "a c b")]
+    docs, items = spark.createDataFrame(rows, f"doc_id {kind}, text string"), spark.createDataFrame([(9, "A b, c"), (None, "c"), (10, None)], "item_id int, text string")
+    report = X.contamination_report(docs, items)
+    assert report.schema["doc_id"].dataType == docs.schema["doc_id"].dataType
+    assert sorted(((r.doc_id, r.n_hit, r["items"]) for r in report.collect()), key=repr) == sorted([(make(1), 3, ["9"]), (make(2), 3, ["9"]), (None, 3, ["9"]), (None, 0, []), (make(3), 0, [])], key=repr)
+    assert sorted(((r.doc_id, r.first_word) for r in X.find_matches(docs, items).collect()), key=repr) == sorted([(make(1), 0), (make(2), 1), (None, 0)], key=repr)
+    assert sorted(map(tuple, X.drop_contaminated(docs, items).collect()), key=repr) == sorted([(None, None), (make(3), "a c b")], key=repr)
