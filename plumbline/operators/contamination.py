@@ -10,11 +10,6 @@ from pyspark.sql import functions as F
 from plumbline.sources.tables import saved
 
 
-def joined(gram: str) -> Column:
-    """An array gram as one string; the separator is a control character no token holds."""
-    return F.array_join(F.transform(gram, lambda x: x.cast("string")), "\x01")
-
-
 def grams(seq: Column, n: int, text: bool) -> Column:
     """All n-grams of a string (by characters) or of an array, as an array; empty if too short."""
     if n <= 0:
@@ -25,22 +20,35 @@ def grams(seq: Column, n: int, text: bool) -> Column:
     return F.when(size >= n, F.transform(at, piece))
 
 
-def _keyed(df: DataFrame, name: str | None, seq: str, n: int, text: bool) -> DataFrame:
-    keys = [F.col(name).alias("name")] if name else []
-    rows = df.select(*keys, F.explode(grams(F.col(seq), n, text)).alias("g"))
-    return rows.select(*[k for k in (["name"] if name else [])], (F.col("g") if text else joined("g")).alias("g")).distinct()
+def _hashed(seq: str, n: Column | int, text: bool) -> Column:
+    """The distinct 64-bit hashes of all n-grams; NULL where there are none.
+
+    The sequence is bound once: an expression behind its name would be computed again per n-gram.
+    """
+    n = F.lit(n) if isinstance(n, int) else n
+
+    def hashes(s: Column) -> Column:
+        size = F.length(s) if text else F.size(s)
+        piece = (lambda i: F.substring(s, i, n)) if text else (lambda i: F.slice(s, i, n))
+        return F.when(size >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), size - n + 1), lambda i: F.xxhash64(piece(i)))))
+
+    return F.transform(F.array(seq), hashes)[0]
 
 
 def ngram_overlap(candidates: DataFrame, reference: DataFrame, n: int, seq: str = "seq", name: str = "name", text: bool = True) -> DataFrame:
     """name and ``overlap``: the share of a candidate's distinct n-grams that the reference has.
 
-    NULL for a candidate shorter than n. The reference may be many rows; it is joined and never
-    collected.
+    NULL for a candidate shorter than n; names are unique. n-grams are compared by 64-bit hashes and
+    counted within the row. The reference's are written once: Spark sees their size and broadcasts
+    them while they are under its threshold; else both sides are shuffled by hash.
     """
-    cand = _keyed(candidates, name, seq, n, text)
-    ref = _keyed(reference, None, seq, n, text).withColumn("hit", F.lit(1))
-    found = cand.join(ref, "g", "left").groupBy("name").agg((F.count("hit") / F.count("*")).alias("overlap"))
-    return candidates.select(F.col(name).alias("name")).join(found, "name", "left")
+    if n <= 0:
+        raise ValueError("n must be positive")
+    own = candidates.select(F.col(name).alias("name"), _hashed(seq, n, text).alias("h"))
+    ref = saved(reference.select(F.explode(_hashed(seq, n, text)).alias("g")).distinct(), "reference-grams")
+    hits = own.select("name", F.explode("h").alias("g")).join(ref, "g", "left_semi").groupBy("name").agg(F.count("*").alias("hits"))
+    sized = own.select("name", F.size("h").alias("n"), F.col("h").isNotNull().alias("long"))
+    return sized.join(hits, "name", "left").select("name", F.when(F.col("long"), F.coalesce("hits", F.lit(0)) / F.col("n")).alias("overlap"))
 
 
 def longest_match(candidates: DataFrame, reference: DataFrame, max_n: int = 64, seq: str = "seq", name: str = "name", text: bool = True) -> DataFrame:
@@ -50,25 +58,18 @@ def longest_match(candidates: DataFrame, reference: DataFrame, max_n: int = 64,
     by binary search; all candidates advance together, in log2(max_n) rounds of semi joins.
     """
     size = F.length(seq) if text else F.size(seq)
-    state = candidates.select(F.col(name).alias("name"), F.col(seq).alias("s"), F.lit(0).alias("lo"), F.least(F.lit(max_n), F.coalesce(size, F.lit(0))).alias("hi"))
+    whole = reference.select(F.col(seq).alias("r"), size.alias("n"))
+    state = candidates.select(F.col(name).alias("name"), F.col(seq).alias("s"), F.lit(0).alias("lo"), F.least(F.lit(max_n), F.greatest(F.lit(0), F.coalesce(size, F.lit(0)))).alias("hi"))
+    state = saved(state, "longest")
     for _ in range(max_n.bit_length()):
         state = state.withColumn("mid", F.floor((F.col("lo") + F.col("hi") + 1) / 2).cast("int"))
-        probe = state.where("lo < hi")
-        at = F.sequence(F.lit(1), (F.length("s") if text else F.size("s")) - F.col("mid") + 1)
-        cut = (lambda i: F.substring(F.col("s"), i, F.col("mid"))) if text else (lambda i: F.slice(F.col("s"), i, F.col("mid")))
-        mine = probe.select("name", "mid", F.explode(F.transform(at, cut)).alias("g"))
-        mine = mine.select("name", "mid", (F.col("g") if text else joined("g")).alias("g")).distinct()
-        lengths = mine.select("mid").distinct()
-        rsize = F.length(seq) if text else F.size(seq)
-        ref = reference.select(F.col(seq).alias("r"), rsize.alias("n")).join(F.broadcast(lengths), F.col("mid") <= F.col("n"))  # at most max_n lengths
-        rcut = (lambda i: F.substring(F.col("r"), i, F.col("mid"))) if text else (lambda i: F.slice(F.col("r"), i, F.col("mid")))
-        theirs = ref.select("mid", F.explode(F.transform(F.sequence(F.lit(1), F.col("n") - F.col("mid") + 1), rcut)).alias("g"))
-        theirs = theirs.select("mid", (F.col("g") if text else joined("g")).alias("g"))
-        hit = mine.join(theirs, ["mid", "g"], "left_semi").select("name").distinct().withColumn("hit", F.lit(True))
+        mine = state.where("lo < hi").select("name", "mid", F.explode(_hashed("s", F.col("mid"), text)).alias("g"))
+        lengths = state.where("lo < hi").select("mid").distinct()  # at most max_n numbers
+        theirs = whole.join(F.broadcast(lengths), F.col("mid") <= F.col("n")).select("mid", F.explode(_hashed("r", F.col("mid"), text)).alias("g"))
+        hit = mine.join(saved(theirs.distinct(), "reference-grams"), ["mid", "g"], "left_semi").select("name").distinct().withColumn("hit", F.lit(True))
         state = state.join(hit, "name", "left")
         yes, open_ = F.coalesce("hit", F.lit(False)), F.col("lo") < F.col("hi")
-        state = state.select("name", "s", F.when(open_ & yes, F.col("mid")).otherwise(F.col("lo")).alias("lo"), F.when(open_ & ~yes, F.col("mid") - 1).otherwise(F.col("hi")).alias("hi"))
-        state = saved(state)
+        state = saved(state.select("name", "s", F.when(open_ & yes, F.col("mid")).otherwise(F.col("lo")).alias("lo"), F.when(open_ & ~yes, F.col("mid") - 1).otherwise(F.col("hi")).alias("hi")), "longest")
     return state.select("name", F.col("lo").alias("longest_match"), (F.col("lo") >= max_n).alias("capped"))
 
 

@@ -6,6 +6,7 @@ point, one group of curves per task: the same clusters are drawn at every point.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Sequence
 
 import numpy as np
@@ -101,31 +102,105 @@ def crossing(curve: DataFrame, y: str, level: float, by: Sequence[str] = (), x:
     return found.select(*by, (F.exp("at") if log_x else c("at")).alias("crossing"))
 
 
-def composition_points(df: DataFrame, x: str, ok: str, by: Sequence[str] = (), item: str = "item_id", log_x: bool = True) -> DataFrame:
-    """Per axis point: A_obs, p, A_pred, A_pred_lc, phi and phi_lc from per-token 0/1 arrays.
-
-    Marginals are by position, pooled and within lengths; a prediction is the product over the
-    positions of an item. Only (x, length, position) sums are joined.
-    """
-    rows = align(df, x, F.col(ok).isNotNull(), by, item, log_x).select(*by, F.col("_x").alias("x"), F.col(ok).alias("ok"), F.size(ok).alias("len"))
-    k = [*by, "x"]
+def _token_sums(rows: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Counts and hits of 0/1 arrays ``ok`` per key, length and position, and per key and length."""
+    sized = rows.select(*keys, "ok", F.size("ok").alias("len"))
     right = F.forall("ok", lambda v: v.cast("boolean")).cast("double")
-    per = rows.groupBy(*k, "len").agg(F.count("*").alias("n"), F.sum(right).alias("all_right"))
-    at = rows.select(*k, "len", F.posexplode("ok").alias("j", "v")).groupBy(*k, "len", "j").agg(F.count("*").alias("n"), F.sum(F.col("v").cast("boolean").cast("double")).alias("s"))
-    pooled = at.groupBy(*k, "j").agg((F.sum("s") / F.sum("n")).alias("m"))
+    whole = sized.groupBy(*keys, "len").agg(F.count("*").alias("n"), F.sum(right).alias("s"))
+    token = F.col("v").cast("boolean").cast("double")
+    at = sized.select(*keys, "len", F.posexplode("ok").alias("j", "v")).groupBy(*keys, "len", "j").agg(F.count("*").alias("n"), F.sum(token).alias("s"))
+    return whole, at
+
+
+def _composed(whole: DataFrame, at: DataFrame, k: Sequence[str]) -> DataFrame:
+    """Composition quantities per ``k`` from sums per length and position; weights may be any numbers."""
+    share, c = F.col("s") / F.nullif(F.col("n").cast("double"), F.lit(0.0)), F.col
+    seen = at.where("n > 0")
+    pooled = seen.groupBy(*k, "j").agg((F.sum("s") / F.sum("n")).alias("m"))
     running = Window.partitionBy(*k).orderBy("j")
     marg = pooled.withColumn("ms", F.collect_list("m").over(running)).select(*k, (F.col("j") + 1).alias("len"), F.aggregate("ms", F.lit(1.0), lambda a, b: a * b).alias("pred"))
-    within = at.groupBy(*k, "len").agg(F.aggregate(F.collect_list(F.col("s") / F.col("n")), F.lit(1.0), lambda a, b: a * b).alias("pred_l"))
-    lengths = join_groups(join_groups(per, marg, [*k, "len"], "left"), within, [*k, "len"], "left").na.fill(1.0, ["pred", "pred_l"])
-    c = F.col
+    within = seen.groupBy(*k, "len").agg(F.aggregate(F.collect_list(share), F.lit(1.0), lambda a, b: a * b).alias("pred_l"))
+    used = whole.where("n > 0")
+    lengths = join_groups(join_groups(used, marg, [*k, "len"], "left"), within, [*k, "len"], "left").na.fill(1.0, ["pred", "pred_l"])
     total = lengths.groupBy(*k).agg(
-        F.sum("n").alias("n"), (F.sum("all_right") / F.sum("n")).alias("A_obs"), (F.sum(c("n") * c("pred")) / F.sum("n")).alias("A_pred"), (F.sum(c("n") * c("pred_l")) / F.sum("n")).alias("A_pred_lc"),
+        F.sum("n").alias("n"), (F.sum("s") / F.sum("n")).alias("A_obs"), (F.sum(c("n") * c("pred")) / F.sum("n")).alias("A_pred"), (F.sum(c("n") * c("pred_l")) / F.sum("n")).alias("A_pred_lc"),
     )
-    rate = at.groupBy(*k).agg((F.sum("s") / F.sum("n")).alias("p"))
+    rate = seen.groupBy(*k).agg((F.sum("s") / F.sum("n")).alias("p"))
     out = join_groups(total, rate, k, "left")
     return out.select(*k, "n", "p", "A_obs", "A_pred", "A_pred_lc", (c("A_obs") - c("A_pred")).alias("phi"), (c("A_obs") - c("A_pred_lc")).alias("phi_lc"))
 
 
+def composition_points(df: DataFrame, x: str, ok: str, by: Sequence[str] = (), item: str = "item_id", log_x: bool = True) -> DataFrame:
+    """Per axis point: A_obs, p, A_pred, A_pred_lc, phi and phi_lc from per-token 0/1 arrays.
+
+    Marginals are by position, pooled and within lengths; a prediction is the product over the
+    positions of an item. Only (x, length, position) sums are joined.
+    """
+    rows = align(df, x, F.col(ok).isNotNull(), by, item, log_x).select(*by, F.col("_x").alias("x"), F.col(ok).alias("ok"))
+    return _composed(*_token_sums(rows, [*by, "x"]), [*by, "x"])
+
+
+def _stacked(points: DataFrame, by: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """by, b, quantity, x and value of named columns, a row each."""
+    names = ", ".join(f"'{c}', CAST(`{c}` AS DOUBLE)" for c in columns)
+    x = "x" if "x" in points.columns else "CAST(NULL AS DOUBLE) AS x"
+    return points.selectExpr(*[f"`{b}`" for b in by], "b", x, f"stack({len(columns)}, {names}) AS (quantity, value)")
+
+
+def _summed(long: DataFrame, by: Sequence[str], alpha: float) -> DataFrame:
+    """Points (b = -1) with percentile bounds and the share of draws without a value."""
+    from plumbline.operators.statistics import percentile_bounds
+
+    drawn = F.col("b") >= 0
+    out = long.withColumn("r", F.when(drawn, F.col("value"))).groupBy(*by, "quantity", "x").agg(
+        F.max(F.when(~drawn, F.col("value"))).alias("point"), *percentile_bounds("r", alpha), (1 - F.count("r") / F.count_if(drawn)).alias("censored"),
+    )
+    return out.select(*by, "quantity", "x", "point", "lo", "hi", "censored")
+
+
+def _peak_rows(curve: DataFrame, keys: Sequence[str], chi: str) -> DataFrame:
+    return peak(curve, keys, chi).withColumn("peak_at_edge", F.col("peak_at_edge").cast("double"))
+
+
+def _value_draws(sums: DataFrame, by: Sequence[str], levels: Sequence[float], n_boot: int, seed: int, alpha: float, log_x: bool) -> DataFrame:
+    """:func:`value_curves` by hashed Poisson weights: sums per cluster and point stay where they are."""
+    from plumbline.operators.statistics import poisson_sums
+
+    per = sums.withColumnRenamed("_x", "x")
+    whole = per.groupBy(*by, "x").agg(F.sum("s").alias("s"), F.sum("n").cast("double").alias("n")).withColumn("b", F.lit(-1))
+    every = whole.unionByName(poisson_sums(per, [*by, "x"], ["s", "n"], n_boot, seed))
+    keys = [*by, "b"]
+    curve = susceptibility(every.select(*keys, "x", (F.col("s") / F.nullif("n", F.lit(0.0))).alias("mean")), "mean", keys, "x", log_x)
+    long = _stacked(curve, by, ["mean", "chi"]).unionByName(_stacked(_peak_rows(curve, keys, "chi"), by, ["peak_chi", "peak_x", "peak_at_edge"]))
+    for v in levels:
+        long = long.unionByName(_stacked(crossing(curve, "mean", v, keys, "x", log_x).withColumnRenamed("crossing", f"crossing_{v:g}"), by, [f"crossing_{v:g}"]))
+    return _summed(long, by, alpha)
+
+
+def _axis_draws(rows: DataFrame, by: Sequence[str], n_boot: int, seed: int, alpha: float, log_x: bool) -> DataFrame:
+    """:func:`axis_curves` by hashed Poisson weights over sums per cluster, length and position."""
+    from plumbline.operators.statistics import poisson_sums
+
+    k, keys = [*by, "x"], [*by, "x", "b"]
+    parts = []
+    for sums, own in zip(_token_sums(rows.withColumnRenamed("_x", "x"), [*k, "cluster"]), (["len"], ["len", "j"])):
+        whole = sums.groupBy(*k, *own).agg(F.sum("n").cast("double").alias("n"), F.sum("s").alias("s")).withColumn("b", F.lit(-1))
+        parts.append(whole.unionByName(poisson_sums(sums, [*k, *own], ["n", "s"], n_boot, seed)))
+    points = _composed(*parts, keys)
+    kinds = ("obs", "pred", "pred_lc")
+    for kind in kinds:
+        points = susceptibility(points, f"A_{kind}", [*by, "b"], "x", log_x, f"chi_{kind}")
+    right, product = F.col("s") / F.col("n"), F.col("pred_l")
+    used = parts[0].where("n > 0")
+    within = parts[1].where("n > 0").groupBy(*keys, "len").agg(F.aggregate(F.collect_list(F.col("s") / F.col("n")), F.lit(1.0), lambda a, b: a * b).alias("pred_l"))
+    lengths = join_groups(used, within, [*keys, "len"], "left").na.fill(1.0, ["pred_l"]).select(*by, "b", "x", F.concat(F.lit("phi_l"), "len").alias("quantity"), (right - product).alias("value"))
+    best = points.groupBy(*by, "b").agg(F.max_by(F.struct("chi_obs", "chi_pred", "chi_pred_lc"), F.struct("chi_obs", -F.col("x"))).alias("t"))
+    gaps = best.select(*by, "b", *[(F.col("t.chi_obs") - F.col(f"t.chi_{kind}")).alias(f"peak_chi_gap{end}") for kind, end in (("pred", ""), ("pred_lc", "_lc"))])
+    long = _stacked(points, by, ["p", "A_obs", "A_pred", "A_pred_lc", "phi", "phi_lc", *[f"chi_{kind}" for kind in kinds]])
+    long = long.unionByName(lengths).unionByName(_stacked(_peak_rows(points, [*by, "b"], "chi_obs"), by, ["peak_chi", "peak_x", "peak_at_edge"])).unionByName(_stacked(gaps, by, ["peak_chi_gap", "peak_chi_gap_lc"]))
+    return _summed(long, by, alpha)
+
+
 # == replicates ==
 
 
@@ -200,14 +275,17 @@ def _grouped(rows: DataFrame, by: Sequence[str], run, schema: str) -> DataFrame:
     return keyed.groupBy(*(by or ["_all"])).applyInPandas(one, head + schema)
 
 
-def value_curves(df: DataFrame, x: str, value: str, by: Sequence[str] = (), item: str = "item_id", cluster: str = "cluster", levels: Sequence[float] = (), n_boot: int = 1000, seed: int = 0, alpha: float = 0.05, log_x: bool = True) -> DataFrame:
+def value_curves(df: DataFrame, x: str, value: str, by: Sequence[str] = (), item: str = "item_id", cluster: str = "cluster", levels: Sequence[float] = (), n_boot: int = 1000, seed: int = 0, alpha: float = 0.05, log_x: bool = True, engine: str = "exact", chunk: int = 256) -> DataFrame:
     """Long table of mean, chi, peak and crossings with percentile intervals, per group.
 
-    Rows are summed per cluster and axis point before they meet; a task sees k clusters by axis points.
+    Rows are summed per cluster and axis point before they meet. With ``engine="exact"`` a task sees k
+    clusters by axis points of a group, and ``chunk`` draws at a time; with ``"poisson"`` no group meets.
     """
     rows = align(df, x, number(value).isNotNull(), by, item, log_x)
     label = require(F.col(cluster).isNotNull(), f"an item has no {cluster}", F.col(cluster))
     sums = rows.select(*by, "_x", label.alias("cluster"), number(value).alias("v"), "_item").groupBy(*by, "cluster", "_x").agg(F.sum("v").alias("s"), F.count("*").alias("n"), F.min("_item").alias("first"))
+    if engine == "poisson":
+        return _value_draws(sums, by, levels, n_boot, seed, alpha, log_x)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         xs = np.sort(pdf["_x"].unique())
@@ -217,8 +295,8 @@ def value_curves(df: DataFrame, x: str, value: str, by: Sequence[str] = (), item
         s = pdf.pivot(index="cluster", columns="_x", values="s").loc[order, xs].to_numpy(float)
         n = pdf.pivot(index="cluster", columns="_x", values="n").loc[order, xs].to_numpy(float)
         k, rng = len(s), np.random.default_rng(seed)
-        w = np.vstack([np.ones((1, k)), draw_weights(rng, k, n_boot)])
-        mean = (w @ s) / (w @ n)
+        drawn = (draw_weights(rng, k, min(chunk, n_boot - i)) for i in range(0, n_boot, chunk))
+        mean = np.vstack([(w @ s) / (w @ n) for w in itertools.chain([np.ones((1, k))], drawn)])
         chi = gradient(xs, mean, log_x)
         every = {"mean": mean, "chi": chi, **_peaks(xs, chi), **{f"crossing_{v:g}": first_crossing(xs, mean, v, log_x) for v in levels}}
         return _long(xs, {q: a[0] for q, a in every.items()}, {q: a[1:] for q, a in every.items()}, alpha)
@@ -266,9 +344,15 @@ def _matrices(pdf: pd.DataFrame):
     return xs, codes, parts
 
 
-def axis_curves(df: DataFrame, x: str, ok: str, by: Sequence[str] = (), item: str = "item_id", cluster: str = "cluster", n_boot: int = 1000, seed: int = 0, alpha: float = 0.05, log_x: bool = True, chunk: int = 256) -> DataFrame:
-    """Long table of the composition quantities, their chi and peak, with percentile intervals."""
+def axis_curves(df: DataFrame, x: str, ok: str, by: Sequence[str] = (), item: str = "item_id", cluster: str = "cluster", n_boot: int = 1000, seed: int = 0, alpha: float = 0.05, log_x: bool = True, chunk: int = 256, engine: str = "exact") -> DataFrame:
+    """Long table of the composition quantities, their chi and peak, with percentile intervals.
+
+    ``engine="exact"`` brings a group's items to one task; ``"poisson"`` moves sums per cluster, length
+    and position only.
+    """
     rows = align(df, x, F.col(ok).isNotNull(), by, item, log_x).select(*by, "_x", "_item", F.col(cluster).alias("cluster"), F.col(ok).alias("ok"))
+    if engine == "poisson":
+        return _axis_draws(rows, by, n_boot, seed, alpha, log_x)
 
     def curves(w: np.ndarray, xs: np.ndarray, parts: list) -> dict[str, np.ndarray]:
         points = [composition(w, *p) for p in parts]
@@ -281,10 +365,9 @@ def axis_curves(df: DataFrame, x: str, ok: str, by: Sequence[str] = (), item: st
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         xs, codes, parts = _matrices(pdf)
-        k = codes.max() + 1
+        k, rng = codes.max() + 1, np.random.default_rng(seed)
         point = {q: a[0] for q, a in curves(np.ones((1, len(codes))), xs, parts).items()}
-        w = draw_weights(np.random.default_rng(seed), k, n_boot)
-        made = [curves(w[i : i + chunk][:, codes], xs, parts) for i in range(0, n_boot, chunk)]
+        made = [curves(draw_weights(rng, k, min(chunk, n_boot - i))[:, codes], xs, parts) for i in range(0, n_boot, chunk)]
         return _long(xs, point, {q: np.concatenate([m[q] for m in made]) for q in point}, alpha)
 
     return _grouped(rows, by, run, _CURVE)

@@ -10,11 +10,13 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.columns import require
-from plumbline.sources.tables import saved
+from plumbline.sources.tables import saved, saved_path
 
 TOKEN = "([a-z0-9]+)"
 
@@ -32,12 +34,25 @@ def top(scores: DataFrame, k: int, by: str = "score") -> DataFrame:
 # == BM25 ==
 
 
-def bm25_index(docs: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """Postings (term, doc_id, weight); the weight of a term in a document is final."""
+def asked_terms(queries: DataFrame) -> DataFrame:
+    """query, term and how often the query has it."""
+    return queries.select("query", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query", "term").agg(F.count("*").alias("q"))
+
+
+def bm25_index(docs: DataFrame, k1: float = 1.2, b: float = 0.75, queries: DataFrame | None = None) -> DataFrame:
+    """Postings (term, doc_id, weight); the weight of a term in a document is final.
+
+    With ``queries``, only of the terms these ask for. Counts per document and term are written once,
+    so that a frequent term's postings are a plain table: Spark splits them at run time, or broadcasts
+    the document frequencies while they are under its threshold.
+    """
     words = docs.select("doc_id", tokens(F.col("text")).alias("t"))
     stats = words.agg(F.count("*").alias("n_docs"), F.avg(F.size("t")).alias("mean"))
-    tf = words.select("doc_id", F.size("t").alias("len"), F.explode("t").alias("term")).groupBy("term", "doc_id").agg(F.count("*").alias("f"), F.max("len").alias("len"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
+    each = words.select("doc_id", F.size("t").alias("len"), F.explode("t").alias("term"))
+    if queries is not None:
+        each = each.join(saved(asked_terms(queries).select("term").distinct(), "asked-terms"), "term", "left_semi")
+    tf = saved(each.groupBy("doc_id", "term").agg(F.count("*").alias("f"), F.max("len").alias("len")), "postings")
+    df = saved(tf.groupBy("term").agg(F.count("*").alias("df")), "document-frequencies")
     joined = tf.join(df, "term").crossJoin(F.broadcast(stats))  # one row
     c = F.col
     idf = F.log(1 + (c("n_docs") - c("df") + 0.5) / (c("df") + 0.5))
@@ -49,10 +64,9 @@ def bm25_index(docs: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
 def bm25_scores(index: DataFrame, queries: DataFrame) -> DataFrame:
     """query, doc_id and score of all pairs that share a term; a repeated query term counts again.
 
-    Scores are rounded to 12 digits, so that the order of a distributed sum makes no ties.
+    Scores are rounded to 9 digits, so that the order of a distributed sum makes no ties.
     """
-    asked = queries.select("query", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query", "term").agg(F.count("*").alias("q"))
-    return index.join(asked, "term").groupBy("query", "doc_id").agg(F.round(F.sum(F.col("weight") * F.col("q")), 12).alias("score"))
+    return index.join(asked_terms(queries), "term").groupBy("query", "doc_id").agg(F.round(F.sum(F.col("weight") * F.col("q")), 9).alias("score"))
 
 
 def bm25_retrieve(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
@@ -68,50 +82,59 @@ def bm25_score_all(index: DataFrame, queries: DataFrame, docs: DataFrame) -> Dat
 # == dense ==
 
 
-def _blocks(queries: DataFrame, block: int) -> Iterator[tuple[list, np.ndarray]]:
-    """Query vectors in blocks of bounded size, brought to the driver one at a time."""
-    n = queries.count()
-    parts = max(1, -(-n // block))
-    numbered = queries.withColumn("_p", F.pmod(F.xxhash64("query"), F.lit(parts)))
-    for p in range(parts):
-        rows = numbered.where(F.col("_p") == p).select("query", "vector").collect() if parts > 1 else queries.select("query", "vector").collect()
-        for at in range(0, len(rows), block):
-            yield [r["query"] for r in rows[at : at + block]], np.array([r["vector"] for r in rows[at : at + block]], dtype=np.float32)
+def _matrix(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+
+
+def _query_blocks(path: str, block: int) -> Iterator[tuple[pa.Array, np.ndarray]]:
+    """Names and vectors of written queries, ``block`` at a time."""
+    system, folder = fs.FileSystem.from_uri(path)
+    for entry in sorted(x.path for x in system.get_file_info(fs.FileSelector(folder)) if x.path.endswith(".parquet")):
+        with system.open_input_file(entry) as f:
+            for batch in pq.ParquetFile(f).iter_batches(block):
+                yield batch.column("query"), _matrix(batch.column("vector"))
+
+
+def _gathered(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
+    """Batches put together until they have ``rows`` rows."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= rows:
+            yield pa.Table.from_batches(held).combine_chunks()
+            held, n = [], 0
+    if n:
+        yield pa.Table.from_batches(held).combine_chunks()
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.clip(np.sqrt(np.square(x).sum(axis=1)), 1e-12, None)[:, None]
 
 
-def dense_search(docs: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", block: int = 1024) -> DataFrame:
-    """Exact top-k by block matrix products: each partition sends its own k best per query.
+def dense_search(docs: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", block: int = 1024, rows: int = 1 << 15) -> DataFrame:
+    """Exact top-k by block matrix products in DOUBLE: every ``rows`` documents send their k best per query.
 
-    ``docs`` has doc_id and vector, ``queries`` query and vector. The statement is a set of queries
-    against all rows, block by block.
+    ``docs`` has doc_id and vector, ``queries`` query and vector. This is a stated set of queries against
+    all rows: documents are scanned once, and tasks read the queries from a table, block by block.
+    Scores are rounded to 9 digits, so that the shape of a product makes no ties.
     """
     if metric not in ("cosine", "dot"):
         raise ValueError(f"metric is cosine or dot, not {metric!r}")
     qtype, dtype = queries.schema["query"].dataType.simpleString(), docs.schema["doc_id"].dataType.simpleString()
-    found = None
-    for names, vectors in _blocks(queries, block):
-        q = _unit(vectors) if metric == "cosine" else vectors
-
-        def run(batches: Iterator[pa.RecordBatch], names=names, q=q) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for at in range(0, batch.num_rows, 4096):
-                    part = batch.slice(at, 4096)
-                    x = np.array(part.column("vector").to_pylist(), dtype=np.float32)
-                    s = q @ (_unit(x) if metric == "cosine" else x).T
-                    ids = part.column("doc_id")
-                    if s.shape[1] > k:
-                        edge = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k]
-                        rows, cols = np.nonzero(s >= edge[:, None])  # ties stay; the window decides
-                    else:
-                        rows, cols = np.nonzero(np.ones_like(s, bool))
-                    yield pa.RecordBatch.from_arrays([pa.array([names[r] for r in rows]), ids.take(pa.array(cols)), pa.array(s[rows, cols].astype(np.float64))], names=["query", "doc_id", "score"])
-
-        one = docs.select("doc_id", "vector").mapInArrow(run, f"query {qtype}, doc_id {dtype}, score double")
-        found = one if found is None else found.union(one)
+    path, scaled = saved_path(queries.select("query", "vector"), "queries"), _unit if metric == "cosine" else lambda x: x
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _gathered(batches, rows):
+            ids, x = part.column("doc_id").combine_chunks(), scaled(_matrix(part.column("vector").combine_chunks()))
+            for names, vectors in _query_blocks(path, block):
+                for at in range(0, len(names), 64):
+                    s = np.round(scaled(vectors[at : at + 64]) @ x.T, 9)
+                    edge = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k] if s.shape[1] > k else np.full(len(s), -np.inf)
+                    q, d = np.nonzero(s >= edge[:, None])  # ties stay; the window decides
+                    yield pa.RecordBatch.from_arrays([names.take(pa.array(q + at)), ids.take(pa.array(d)), pa.array(s[q, d])], names=["query", "doc_id", "score"])
+
+    found = docs.select("doc_id", "vector").mapInArrow(run, f"query {qtype}, doc_id {dtype}, score double")
     return top(found, k).select("query", "pos", "doc_id", "score")
 
 
@@ -158,7 +181,7 @@ def ivf_index(docs: DataFrame, centroids: np.ndarray) -> DataFrame:
 
 
 def ivf_search(index: DataFrame, centroids: np.ndarray, queries: DataFrame, k: int, nprobe: int = 16) -> DataFrame:
-    """Approximate top-k: queries meet the documents of their ``nprobe`` nearest lists."""
+    """Approximate top-k: queries meet the documents of their ``nprobe`` nearest lists (:func:`choose_nprobe`)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -175,12 +198,36 @@ def ivf_search(index: DataFrame, centroids: np.ndarray, queries: DataFrame, k: i
     return top(scored, k).select("query", "pos", "doc_id", "score")
 
 
+def choose_nprobe(docs: DataFrame, centroids: np.ndarray, k: int, target: float = 0.97, sample: int = 300, seed: int = 0) -> int:
+    """The fewest lists that hold ``target`` of the true k best of at most about ``sample`` vectors.
+
+    The sample, the documented bound of this fit, is searched exactly against all documents; each true
+    neighbour's list has a place in the order in which its query would probe lists.
+    """
+    share = min(1.0, sample / max(1, docs.count()))
+    asked = docs.sample(False, share, seed).select(F.col("doc_id").alias("query"), "vector")
+    true = dense_search(docs, asked, k).select("query", "doc_id")
+    lists = ivf_index(docs, centroids).select("doc_id", "list")
+    rows = true.join(lists, "doc_id").join(asked, "query").select("list", "vector").collect()  # sample times k
+    if not rows:
+        return 1
+    order = np.argsort(-(_unit(np.array([r["vector"] for r in rows], dtype=np.float64)) @ centroids.T), axis=1)
+    place = np.argmax(order == np.array([r["list"] for r in rows])[:, None], axis=1)
+    return int(np.quantile(place, target, method="higher")) + 1
+
+
 def ann_recall(approximate: DataFrame, exact: DataFrame, k: int) -> DataFrame:
     """query and the share of its exact top k that the approximate ranking has."""
     hit = exact.select("query", "doc_id").join(approximate.select("query", "doc_id").withColumn("hit", F.lit(1)), ["query", "doc_id"], "left")
     return hit.groupBy("query").agg((F.count("hit") / F.lit(k)).alias("recall"))
 
 
+def check_recall(approximate: DataFrame, exact: DataFrame, k: int, least: float = 0.95) -> DataFrame:
+    """One row: queries, mean recall and whether it reaches ``least``; a warning where it does not."""
+    out = ann_recall(approximate, exact, k).agg(F.count("*").alias("n_queries"), F.avg("recall").alias("recall"))
+    return out.select("n_queries", "recall", (F.col("recall") >= least).alias("reached"), F.when(F.col("recall") < least, F.format_string("recall %.3f of the index is under %.2f: probe more lists", "recall", F.lit(least))).alias("warning"))
+
+
 def embed_distinct(texts: DataFrame, embed: Callable[[list[str]], np.ndarray], cache: DataFrame | None = None) -> DataFrame:
     """(role, text, vector): each distinct text once, cached ones not at all."""
     wanted = texts.select("role", "text").distinct()

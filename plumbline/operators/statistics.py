@@ -176,36 +176,53 @@ def cluster_bootstrap(df: DataFrame, value: str, by: Sequence[str] = (), cluster
     return _by_group(per, by, run, f"{_RESULT}, n_clusters bigint, n_rows bigint")
 
 
-def poisson_replicates(per: DataFrame, by: Sequence[str], n_boot: int, seed: int) -> DataFrame:
-    """Replicates of the mean of ``mean`` under Poisson(1) weights: by, b, replicate.
+POISSON_STEPS = np.cumsum([np.exp(-1) / np.prod(np.arange(1.0, i + 1)) for i in range(12)])
+
+
+def poisson_weights(hashes: np.ndarray, draws: np.ndarray, seed: int) -> np.ndarray:
+    """Poisson(1) weights, a row per draw: a function of a cluster's hash, the draw and the seed."""
+    with np.errstate(over="ignore"):
+        z = hashes[None, :] + (draws[:, None] + np.uint64(seed) * np.uint64(1 << 32) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        z ^= z >> np.uint64(31)
+    return np.searchsorted(POISSON_STEPS, (z >> np.uint64(11)) * 2.0**-53).astype(float)
 
-    A weight is a function of cluster, replicate and seed, so the same cluster gets the same weight
-    in every group and every attempt. Each partition sends ``n_boot`` sums per group it holds.
+
+def poisson_sums(per: DataFrame, keys: Sequence[str], values: Sequence[str], n_boot: int, seed: int) -> DataFrame:
+    """Weighted sums of ``values`` per key and draw: keys, b and each value.
+
+    The same cluster gets the same weight in every group and every attempt, wherever its rows lie.
+    Each partition sends ``n_boot`` sums per key it holds, so no group is brought together.
     """
-    steps = np.cumsum([np.exp(-1) / np.prod(np.arange(1.0, i + 1)) for i in range(12)])
     types = {f.name: f.dataType.simpleString() for f in per.schema}
-    head = "".join(f"`{b}` {types[b]}, " for b in by)
+    head = "".join(f"`{k}` {types[k]}, " for k in keys)
 
     def part(batches):
         for pdf in batches:
             key = pdf["h"].to_numpy(np.int64).view(np.uint64)
-            for keys, rows in pdf.groupby(list(by), dropna=False, sort=False) if by else [((), pdf)]:
-                at = rows.index.to_numpy()
-                x, h = rows["mean"].to_numpy(float), key[at]
+            x = pdf[list(values)].to_numpy(float)
+            for own, at in pdf.groupby(list(keys), dropna=False, sort=False).indices.items() if keys else [((), np.arange(len(pdf)))]:
                 for lo in range(0, n_boot, 64):
                     b = np.arange(lo, min(lo + 64, n_boot), dtype=np.uint64)
-                    with np.errstate(over="ignore"):
-                        z = h[None, :] + (b[:, None] + np.uint64(seed) * np.uint64(1 << 32) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-                        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-                        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-                        z ^= z >> np.uint64(31)
-                    w = np.searchsorted(steps, (z >> np.uint64(11)) * 2.0**-53).astype(float)
-                    keys_ = keys if isinstance(keys, tuple) else (keys,)
-                    yield pd.DataFrame({**dict(zip(by, keys_)), "b": b.astype(np.int32), "wx": w @ x, "w": w.sum(axis=1)})
+                    sums = poisson_weights(key[at], b, seed) @ x[at]
+                    yield pd.DataFrame({**dict(zip(keys, own if isinstance(own, tuple) else (own,))), "b": b.astype(np.int32), **dict(zip(values, sums.T))})
+
+    hashed = per.select(*keys, *[F.col(v).cast("double").alias(v) for v in values], F.xxhash64("cluster").alias("h"))
+    sums = hashed.mapInPandas(part, f"{head}b int, {', '.join(f'`{v}` double' for v in values)}")
+    return sums.groupBy(*keys, "b").agg(*[F.sum(v).alias(v) for v in values])
 
-    hashed = per.select(*by, "mean", F.xxhash64("cluster").alias("h"))
-    sums = hashed.mapInPandas(part, f"{head}b int, wx double, w double")
-    return sums.groupBy(*by, "b").agg((F.sum("wx") / F.nullif(F.sum("w"), F.lit(0.0))).alias("replicate"))
+
+def poisson_replicates(per: DataFrame, by: Sequence[str], n_boot: int, seed: int) -> DataFrame:
+    """Replicates of the mean of ``mean`` under Poisson(1) weights: by, b, replicate."""
+    sums = poisson_sums(per.withColumn("w", F.lit(1.0)), by, ["mean", "w"], n_boot, seed)
+    return sums.select(*by, "b", (F.col("mean") / F.nullif("w", F.lit(0.0))).alias("replicate"))
+
+
+def percentile_bounds(value: str, alpha: float) -> list[Column]:
+    """lo and hi of a column of replicates, as aggregates."""
+    q = F.percentile(value, F.array(*[F.lit(t) for t in tails(alpha)]))
+    return [q[0].alias("lo"), q[1].alias("hi")]
 
 
 def paired_difference(df: DataFrame, value: str, condition: str, a, b, by: Sequence[str] = (), cluster: str = "cluster") -> DataFrame:
@@ -225,9 +242,18 @@ def paired_point(df: DataFrame, value: str, condition: str, a, b, by: Sequence[s
 
 
 @own_group_names
-def paired_bootstrap(df: DataFrame, value: str, condition: str, a, b, by: Sequence[str] = (), cluster: str = "cluster", n_boot: int = DRAWS, seed: int = 0, alpha: float = ALPHA, method: str = "bca") -> DataFrame:
+def paired_bootstrap(df: DataFrame, value: str, condition: str, a, b, by: Sequence[str] = (), cluster: str = "cluster", n_boot: int = DRAWS, seed: int = 0, alpha: float = ALPHA, method: str = "bca", engine: str = "exact") -> DataFrame:
     """Interval and two-sided p-value of the mean paired difference, with the unpaired clusters counted."""
-    _check(method)
+    _check(method, engine)
+    if engine == "poisson":
+        per = paired_difference(df, value, condition, a, b, by, cluster)
+        both = F.col("mean").isNotNull()
+        sizes = per.groupBy(*by).agg(F.avg("mean").alias("point"), F.count_if(both).alias("n_clusters"), F.sum(F.when(both, F.col("m"))).alias("n_rows"), F.count_if(~both).alias("n_unpaired"))
+        least, n = (F.least(F.count_if(F.col("replicate") <= 0), F.count_if(F.col("replicate") >= 0)), F.count("replicate"))
+        spread = poisson_replicates(per.where(both), by, n_boot, seed).groupBy(*by).agg(*percentile_bounds("replicate", alpha), F.stddev_samp("replicate").alias("se"), F.least(F.lit(1.0), F.greatest(2 * least / n, 1 / n)).alias("p"))
+        joined = join_groups(sizes, spread, by) if by else sizes.crossJoin(spread)
+        enough = require(F.col("n_clusters") >= 2, "a paired interval needs two clusters that both conditions saw", F.col("point"))
+        return joined.select(*by, enough.alias("point"), "lo", "hi", "se", "n_clusters", "n_rows", "n_unpaired", "p")
 
     def run(pdf: pd.DataFrame) -> dict:
         own = pdf[pdf["mean"].notna()]
@@ -286,8 +312,7 @@ def summarize(df: DataFrame, value: str, by: Sequence[str], cluster: str = "clus
 
         spread = _by_group(per, by, run, "lo double, hi double, se double")
     else:
-        q = F.percentile("replicate", F.array(F.lit(alpha / 2), F.lit(1 - alpha / 2)))
-        spread = poisson_replicates(per, by, n_boot, seed).groupBy(*by).agg(q.alias("q"), F.stddev_samp("replicate").alias("se")).select(*by, F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi"), "se")
+        spread = poisson_replicates(per, by, n_boot, seed).groupBy(*by).agg(*percentile_bounds("replicate", alpha), F.stddev_samp("replicate").alias("se"))
     c = F.col
     out = join_groups(join_groups(join_groups(sizes, spread, by, "left"), _effective(_icc(per, by)).select(*by, "rho", "m0", "deff", "n_eff"), by, "left"), plain, by, "left")
     enough = c("n_clusters") >= 2

@@ -14,12 +14,14 @@ _own: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; a temporary folder only where it is unset, as in tests."""
+    """``spark.checkpoint.dir``; a temporary folder only where it is unset on one machine, as in tests."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(named)
         whole = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(at).toString()
         return whole.replace("file:/", "file:///", 1) if re.match("file:/[^/]", whole) else whole
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     if "at" not in _own:
         _own["at"] = tempfile.mkdtemp(prefix="plumbline-")
         atexit.register(shutil.rmtree, _own["at"], True)
@@ -28,6 +30,11 @@ def shared_folder(spark: SparkSession) -> str:
 
 def saved(df: DataFrame, name: str = "step") -> DataFrame:
     """Write once and read back, which cuts the lineage and survives lost executors."""
+    return df.sparkSession.read.schema(df.schema).parquet(saved_path(df, name))
+
+
+def saved_path(df: DataFrame, name: str = "step") -> str:
+    """Write once; the folder's address, for tasks that read it themselves."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return path
