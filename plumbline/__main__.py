@@ -1,4 +1,4 @@
-"""``python -m plumbline run CONFIG | summarize FOLDER METRIC BY... | list``."""
+"""``python -m plumbline run CONFIG | merge PATH N SCHEMA | summarize FOLDER [METRIC BY...] | list``."""
 
 from __future__ import annotations
 
@@ -6,8 +6,9 @@ import argparse
 
 from pyspark.sql import SparkSession
 
-from plumbline.operators import events
+from plumbline.operators import accounting, events, statistics
 from plumbline.plans import execution, experiment
+from plumbline.sources import jsonl
 
 
 def main(argv: list[str] | None = None) -> None:
@@ -17,6 +18,12 @@ def main(argv: list[str] | None = None) -> None:
     run.add_argument("config")
     look = commands.add_parser("summarize", help="what the event log of a run says")
     look.add_argument("folder")
+    look.add_argument("metric", nargs="?", help="also the summary of this column")
+    look.add_argument("by", nargs="*", help="per these columns")
+    merge = commands.add_parser("merge", help="write the shards of a sink of JSON lines as one")
+    merge.add_argument("path")
+    merge.add_argument("n", type=int)
+    merge.add_argument("schema", help="columns of the rows, such as 'unit_id string, seq bigint, error string'")
     commands.add_parser("list", help="names that a configuration may use")
     args = parser.parse_args(argv)
     if args.command == "list":
@@ -32,6 +39,14 @@ def main(argv: list[str] | None = None) -> None:
         if "halted" in out:
             print(out["halted"])
         return
+    if args.command == "merge":
+        print(jsonl.combine_shards(spark, args.path, args.n, args.schema))
+        return
+    if args.metric:
+        rows = execution.Run(args.folder).table(spark, "rows")
+        if rows is None:
+            raise SystemExit(f"{args.folder} has no rows")
+        statistics.summarize(accounting.latest_rows(rows), args.metric, args.by).show(1000, False)
     log = execution.Run(args.folder).table(spark, "events")
     if log is None:
         raise SystemExit(f"{args.folder} has no event log")

@@ -766,3 +766,6 @@ def stream_counts(spark, sf):
 def pages_parse(spark, sf):
     e = lambda c, p: F.regexp_extract(c, p, 1)
     return table(spark, sf, "pages").select("page_id", e("url", "^(https?)://").alias("scheme"), e("url", "^https?://([^/?#]+)").alias("host"), e("html", "<title>([^<]*)</title>").alias("title"), F.regexp_count("html", F.lit("<a href=")).alias("links"))
+
+
+from plumbline import catalog_runs as catalog_runs  # noqa: E402  registers its queries as well

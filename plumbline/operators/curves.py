@@ -7,7 +7,7 @@ point, one group of curves per task: the same clusters are drawn at every point.
 from __future__ import annotations
 
 import itertools
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -304,6 +304,29 @@ def value_curves(df: DataFrame, x: str, value: str, by: Sequence[str] = (), item
     return _grouped(sums, by, run, _CURVE)
 
 
+def axis_bootstrap(df: DataFrame, x: str, value: str, stat: Callable[[np.ndarray, np.ndarray], dict[str, np.ndarray]], by: Sequence[str] = (), item: str = "item_id", cluster: str = "cluster", n_boot: int = 1000, seed: int = 0, alpha: float = 0.05, log_x: bool = True, chunk: int = 256) -> DataFrame:
+    """Long table of any statistic of a curve: ``stat(x, means)`` turns (draws, points) means into named arrays.
+
+    Clusters are drawn by hash; sums per cluster and point stay where they are, and a task sees a
+    group's draws by axis points.
+    """
+    from plumbline.operators.statistics import poisson_sums
+
+    rows = align(df, x, number(value).isNotNull(), by, item, log_x)
+    per = rows.select(*by, F.col("_x").alias("x"), F.col(cluster).alias("cluster"), number(value).alias("v")).groupBy(*by, "cluster", "x").agg(F.sum("v").alias("s"), F.count("*").alias("n"))
+    whole = per.groupBy(*by, "x").agg(F.sum("s").alias("s"), F.sum("n").cast("double").alias("n")).withColumn("b", F.lit(-1))
+    every = whole.unionByName(poisson_sums(per, [*by, "x"], ["s", "n"], n_boot, seed))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        means = pdf.assign(m=pdf["s"] / pdf["n"].where(pdf["n"] > 0)).pivot(index="b", columns="x", values="m").sort_index()
+        xs = means.columns.to_numpy(float)
+        made = [stat(xs, means.to_numpy(float)[i : i + chunk]) for i in range(0, len(means), chunk)]
+        found = {q: np.concatenate([np.asarray(m[q], float) for m in made]) for q in made[0]}
+        return _long(xs, {q: a[0] for q, a in found.items()}, {q: a[1:] for q, a in found.items()}, alpha)
+
+    return _grouped(every, by, run, _CURVE)
+
+
 def composition(w: np.ndarray, ok: np.ndarray, valid: np.ndarray, n: np.ndarray) -> dict[str, np.ndarray]:
     """Weighted composition quantities of one axis point for (B, k) weights of items."""
     total = w.sum(axis=1)

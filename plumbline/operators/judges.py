@@ -143,6 +143,37 @@ def judge_prompts(answers: DataFrame, rubric: str, instructions: str = "Grade th
     return fit.select("item_id", "cluster", F.concat_ws("\n\n", F.lit(instructions), F.lit(rubric), F.concat(F.lit("Task: "), "prompt"), F.concat(F.lit("Answer: "), text)).alias("prompt"))
 
 
+def verdict_tool(criteria: Mapping[str, str]) -> dict:
+    """The tool that a judge has to call once: a boolean per criterion, described by its question."""
+    if not criteria:
+        raise ValueError("a verdict needs a criterion")
+    odd = [c for c in criteria if not c.isidentifier() or c != c.lower()]
+    if odd:
+        raise ValueError(f"criteria are lower-case names, not {odd}")
+    fields = {c: {"type": "boolean", "description": q} for c, q in criteria.items()}
+    return {"name": "verdict", "description": "State for each criterion whether it is met.", "parameters": {"type": "object", "properties": fields, "required": list(criteria)}}
+
+
+def run_panel(answers: DataFrame, judges: Mapping[str, object], criteria: Mapping[str, str]) -> DataFrame:
+    """Put answers (answer, cluster, prompt) to each judge, a backend; long verdicts with their status.
+
+    A judge's text holds its tool calls as JSON; what is no exact verdict is ``unparsed`` and has none.
+    """
+    from plumbline.plans.execution import call_backend
+
+    out = None
+    for name, backend in judges.items():
+        said = call_backend(answers.select("answer", "cluster", "prompt").withColumn("judge", F.lit(name)), backend)
+        v = parse_verdicts(F.col("text"), list(criteria))
+        rows = said.withColumn("v", v).withColumn("status", F.when(F.col("error").isNotNull(), "error").when(F.col("v").isNull(), "unparsed").otherwise("ok"))
+        pairs = ", ".join(f"'{c}', CAST(v.`{c}` AS DOUBLE)" for c in criteria)
+        one = rows.selectExpr("answer", "cluster", "judge", "status", f"stack({len(criteria)}, {pairs}) AS (criterion, verdict)")
+        out = one if out is None else out.unionByName(one)
+    if out is None:
+        raise ValueError("a panel needs a judge")
+    return out
+
+
 def parse_verdicts(calls: Column, criteria: Sequence[str]) -> Column:
     """A struct of booleans from a JSON list of tool calls, NULL unless it is one exact ``verdict`` call.
 

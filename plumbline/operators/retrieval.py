@@ -274,6 +274,18 @@ def gold_by_query(items: DataFrame) -> DataFrame:
     return sets.agg(one.alias("g")).select("query", F.explode("g").alias("doc_id"))
 
 
+def gold_by_item(items: DataFrame) -> DataFrame:
+    """item_id, doc_id from items (item_id, gold_docs); an item that is there twice is refused."""
+    one = require(F.count("*") == 1, "an item is there twice", F.first("gold_docs"))
+    return items.groupBy("item_id").agg(one.alias("g")).select("item_id", F.explode(F.array_distinct("g")).alias("doc_id"))
+
+
+def gold_of(queries: DataFrame, gold: DataFrame, key: str = "query") -> DataFrame:
+    """Gold rows of the queries; one that has none is refused."""
+    found = queries.select(key).distinct().join(gold, key, "left")
+    return found.withColumn("doc_id", require(F.col("doc_id").isNotNull(), f"a {key} has no gold", F.col("doc_id")))
+
+
 def hash_uniform(*parts: Column) -> Column:
     """A uniform number in (0, 1) from 32 bits of an MD5, equal in every engine."""
     return (F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 8), 16, 10).cast("double") + 0.5) / float(1 << 32)
@@ -327,6 +339,17 @@ def rank_metrics(ranked: DataFrame, gold: DataFrame, ks: Sequence[int] = (1, 5,
     return out.select("query", *made, F.when(some, F.coalesce(1 / c("first"), F.lit(0.0))).alias("rr"))
 
 
+def score_ranked(ranked: DataFrame, gold: DataFrame, ks: Sequence[int] = (1, 5, 10)) -> DataFrame:
+    """:func:`rank_metrics` of the queries that were asked, with the ``depth`` of their rankings."""
+    depth = ranked.groupBy("query").agg(F.count("*").alias("depth"))
+    return rank_metrics(ranked, gold, ks).join(depth, "query")
+
+
+def inverse_rank(ranked: DataFrame) -> DataFrame:
+    """``ranked`` with ``rank``: the place, from 0, of each document in the order of ids."""
+    return ranked.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("doc_id")) - 1)
+
+
 def retrieval_summary(rows: DataFrame, by: Sequence[str], metrics: Sequence[str], **kw) -> DataFrame:
     """Summaries of all metric columns, stacked; rr needs one ranking depth per group."""
     from plumbline.operators.statistics import summarize

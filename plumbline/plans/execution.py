@@ -14,14 +14,16 @@ from dataclasses import dataclass, field
 from typing import Any, Protocol
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.operators.accounting import first_rows, latest_rows
 from plumbline.plans import grid
 from plumbline.plans.identity import digest, request_key
+from plumbline.plans.search_tools import Context, Tool
 from plumbline.sources.tables import saved
 
+RETRY = "retry_reasons array<string>, retry_waits array<double>, server_waits array<double>"
 ANSWER = "text string, error string, truncated boolean, tool_error boolean, in_tokens double, out_tokens double, latency_s double"
 
 
@@ -79,8 +81,11 @@ class Function:
         return out
 
 
-def with_retries(call: Callable[[], list[dict]], n: int, attempts: int = 5, sleep=time.sleep, base: float = 1.0, cap: float = 60.0, rng: random.Random | None = None) -> list[dict]:
-    """Full jitter between tries; a wait the server asks for, up to 300 s, is kept to."""
+def with_retries(call: Callable[[], list[dict]], n: int, attempts: int = 5, sleep=time.sleep, base: float = 1.0, cap: float = 60.0, rng: random.Random | None = None, on_retry: Callable[[str, float, float | None], None] | None = None) -> list[dict]:
+    """Full jitter between tries; a wait the server asks for, up to 300 s, is kept to.
+
+    ``on_retry`` is told the reason, the wait and what wait the server asked for, before each further try.
+    """
     rng = rng or random.Random()
     for k in range(attempts):
         try:
@@ -88,7 +93,10 @@ def with_retries(call: Callable[[], list[dict]], n: int, attempts: int = 5, slee
         except Transient as e:
             if k == attempts - 1:
                 return [{"error": f"Transient: {e}"}] * n
-            sleep(min(300.0, e.wait) if e.wait is not None else rng.random() * min(cap, base * (1 << k)))
+            wait = min(300.0, e.wait) if e.wait is not None else rng.random() * min(cap, base * (1 << k))
+            if on_retry is not None:
+                on_retry(f"{e}"[:300], wait, e.wait)
+            sleep(wait)
         except Fatal as e:
             return [{"error": f"Fatal: {e}"}] * n
     return [{"error": "no attempt was made"}] * n
@@ -104,7 +112,8 @@ class Agent:
 
     @property
     def identity(self) -> Any:
-        return {"agent": self.backend.identity, "tools": sorted(self.tools), "max_turns": self.max_turns}
+        versions = {n: getattr(t, "version", "") for n, t in self.tools.items()}
+        return {"agent": self.backend.identity, "tools": sorted(versions.items()), "max_turns": self.max_turns}
 
     def complete(self, requests: list[dict]) -> list[dict]:
         return [self._one(dict(r)) for r in requests]
@@ -118,8 +127,9 @@ class Agent:
             for c in calls:
                 if c["name"] not in self.tools:
                     return {"error": f"no tool {c['name']!r}", "tool_error": True}
+                tool, context = self.tools[c["name"]], Context(request.get("item_id"), int(request.get("repeat") or 0))
                 try:
-                    result = self.tools[c["name"]](c.get("arguments") or {})
+                    result = tool(c.get("arguments") or {}, context) if isinstance(tool, Tool) else tool(c.get("arguments") or {})
                 except Exception as e:  # noqa: BLE001
                     return {"error": f"{type(e).__name__}: {e}", "tool_error": True}
                 request["prompt"] = f"{request['prompt']}\n\n{c['name']}: {result}"
@@ -132,16 +142,18 @@ def _call(backend: Backend, columns: Sequence[str], batch_size: int, attempts: i
             parts = []
             for at in range(0, len(pdf), batch_size):
                 requests = pdf.iloc[at : at + batch_size].to_dict("records")
-                began = time.time()
+                began, tries = time.time(), []
                 try:
-                    answers = with_retries(lambda: backend.complete(requests), len(requests), attempts)  # noqa: B023
+                    answers = with_retries(lambda: backend.complete(requests), len(requests), attempts, on_retry=lambda *x: tries.append(x))  # noqa: B023
                 except Exception as e:  # noqa: BLE001
                     answers = [{"error": f"{type(e).__name__}: {e}"}] * len(requests)
                 if len(answers) != len(requests):
                     answers = [{"error": "missing: the backend answered another number of requests"}] * len(requests)
                 each = (time.time() - began) / len(requests)
                 parts += [{k: a.get(k) for k in ("text", "error", "in_tokens", "out_tokens")} | {"truncated": bool(a.get("truncated")), "tool_error": bool(a.get("tool_error")), "latency_s": each} for a in answers]
-            answered = pd.DataFrame(parts, columns=[c.split(" ")[0] for c in ANSWER.split(", ")], index=pdf.index)
+                told = [list(x) for x in zip(*tries)] or [[], [], []]
+                parts[-len(answers)] |= dict(zip(("retry_reasons", "retry_waits", "server_waits"), told))  # once per batch
+            answered = pd.DataFrame(parts, columns=[c.split(" ")[0] for c in f"{ANSWER}, {RETRY}".split(", ")], index=pdf.index)
             yield pd.concat([pdf[list(columns)], answered], axis=1)
 
     return run
@@ -153,7 +165,7 @@ def call_backend(units: DataFrame, backend: Backend, batch_size: int = 1, attemp
     The result is written before it is used: a second look at it never calls again.
     """
     kinds = {f.name: f.dataType.simpleString() for f in units.schema}
-    schema = ", ".join(f"`{c}` {k}" for c, k in kinds.items()) + ", " + ANSWER
+    schema = ", ".join(f"`{c}` {k}" for c, k in kinds.items()) + f", {ANSWER}, {RETRY}"
     return saved(units.mapInPandas(_call(backend, units.columns, batch_size, attempts), schema), "answers")
 
 
@@ -191,10 +203,26 @@ class Run:
         return spark.read.option("mergeSchema", "true").parquet(f"{self.folder}/{name}")
 
 
-def execute(plan: DataFrame, backend: Backend, score: Column, run: Run, params: Sequence[str] = (), score_version: str = "1", batch_size: int = 1, attempts: int = 5, retry_errors: bool = True) -> DataFrame:
+EVENT = "t timestamp, event string, unit_id string, status string, cached boolean, latency_s double, in_tokens double, out_tokens double, error string, n_units bigint, to_go bigint, units_done bigint, errors bigint, reason string, wait_s double, server_wait_s double, backend string"
+
+
+def emit(run: Run, events: DataFrame | dict) -> None:
+    """Append events to a run's log: rows, or one event's fields with the present moment."""
+    names = [c.split(" ")[0] for c in EVENT.split(", ")]
+    if isinstance(events, dict):
+        spark = SparkSession.active()
+        fields = ", ".join(c for c in EVENT.split(", ") if not c.startswith("t "))
+        events = spark.createDataFrame([tuple(events.get(n) for n in names[1:])], fields).withColumn("t", F.current_timestamp())
+    types = dict(c.split(" ") for c in EVENT.split(", "))
+    events.select(*[(F.col(n) if n in events.columns else F.lit(None)).cast(types[n]).alias(n) for n in names]).write.mode("append").parquet(f"{run.folder}/events")
+
+
+def execute(plan: DataFrame, backend: Backend, score: Column, run: Run, params: Sequence[str] = (), score_version: str = "1", batch_size: int = 1, attempts: int = 5, retry_errors: bool = True, whole_run: bool = True) -> DataFrame:
     """Plan, record, answer from the cache, call, score, append; returns the latest row of each unit.
 
-    ``plan`` has unit_id, item_id, cluster, repeat, prompt, the parameters and what ``score`` reads.
+    ``plan`` has unit_id, item_id, cluster, repeat, prompt, the parameters and what ``score`` reads. The
+    log says when the run starts and ends, unless it is a part of one, what was retried and what became
+    of each unit.
     """
     spark = plan.sparkSession
     keyed = saved(with_request_keys(plan, backend, params), "keyed-plan")
@@ -206,12 +234,18 @@ def execute(plan: DataFrame, backend: Backend, score: Column, run: Run, params:
     else:
         decided = grid.resume(keyed, latest_rows(rows), score_version, retry_errors)
         start = rows.agg(F.max("seq")).first()[0] + 1
+    decided = saved(decided, "decisions")
     todo = decided.where(F.col("decision").isin("call", "retry", "stale")).drop("decision")
+    if whole_run:
+        emit(run, {"event": "run_start", "n_units": keyed.count(), "to_go": todo.count(), "backend": digest(backend.identity)})
     cache = run.table(spark, "cache")
     answers = [c.split(" ")[0] for c in ANSWER.split(", ")]
     hits = None if cache is None else todo.join(first_rows(cache, "request_key", ("request_key", "text")).select("request_key", *answers), "request_key").withColumn("cached", F.lit(True))
     misses = todo if cache is None else todo.join(cache.select("request_key"), "request_key", "left_anti")
-    called = call_backend(misses, backend, batch_size, attempts).withColumn("cached", F.lit(False))
+    raw = call_backend(misses, backend, batch_size, attempts)
+    tries = raw.select(F.explode(F.arrays_zip("retry_reasons", "retry_waits", "server_waits")).alias("r"))
+    retried = tries.select(F.current_timestamp().alias("t"), F.lit("retry").alias("event"), F.col("r.retry_reasons").alias("reason"), F.col("r.retry_waits").alias("wait_s"), F.col("r.server_waits").alias("server_wait_s"))
+    called = raw.drop(*[c.split(" ")[0] for c in RETRY.split(", ")]).withColumn("cached", F.lit(False))
     called.where("error IS NULL").select("request_key", *answers).write.mode("append").parquet(f"{run.folder}/cache")
     answered = called if hits is None else called.unionByName(hits)
     if rows is not None:
@@ -220,12 +254,42 @@ def execute(plan: DataFrame, backend: Backend, score: Column, run: Run, params:
         answered = answered.unionByName(keyed.join(old, "unit_id").select(*answered.columns))
     made = answer_status(answered, score).withColumn("score_version", F.lit(score_version)).withColumn("batch_size", F.lit(batch_size))
     numbered = made.withColumn("seq", F.monotonically_increasing_id() + F.lit(start))
+    numbered = saved(numbered, "numbered")
     numbered.write.mode("append").parquet(f"{run.folder}/rows")
-    events = numbered.select(F.current_timestamp().alias("t"), F.lit("unit").alias("event"), "unit_id", "status", "cached", "latency_s", "in_tokens", "out_tokens", "error")
-    events.write.mode("append").parquet(f"{run.folder}/events")
+    emit(run, retried)
+    emit(run, numbered.select(F.current_timestamp().alias("t"), F.lit("unit").alias("event"), "unit_id", "status", "cached", "latency_s", "in_tokens", "out_tokens", F.left("error", F.lit(300)).alias("error")))
+    if whole_run:
+        done = numbered.agg(F.count("*").alias("n"), F.count("error").alias("e")).first()
+        emit(run, {"event": "run_end", "units_done": done["n"], "errors": done["e"]})
     return latest_rows(run.table(spark, "rows"))
 
 
+class Runner:
+    """A run in parts: units come a few at a time, one start and one end frame them in the log.
+
+    Used as a context; ``run_batch`` answers the units it is given, with all that :func:`execute` knows
+    of earlier rows, and a part that is given again calls nothing.
+    """
+
+    def __init__(self, backend: Backend, score: Column, run: Run, **options: Any) -> None:
+        self.backend, self.score, self.run, self.options, self.seen = backend, score, run, options, 0
+
+    def __enter__(self) -> Runner:
+        emit(self.run, {"event": "run_start", "backend": digest(self.backend.identity)})
+        return self
+
+    def run_batch(self, units: DataFrame) -> DataFrame:
+        """The latest rows of these units."""
+        rows = execute(units, self.backend, self.score, self.run, whole_run=False, **self.options)
+        own = saved(rows.join(units.select("unit_id"), "unit_id", "left_semi"), "batch")
+        self.seen += own.count()
+        return own
+
+    def __exit__(self, kind, *_: Any) -> None:
+        if kind is None:
+            emit(self.run, {"event": "run_end", "units_done": self.seen})
+
+
 def never_tried(plan: DataFrame, rows: DataFrame) -> DataFrame:
     """Planned units without any row."""
     return plan.join(rows.select("unit_id"), "unit_id", "left_anti")

@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import hashlib
+import importlib.util
 import inspect
 import json
 import os
 import platform
+import subprocess
+import sys
 import tempfile
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from importlib import metadata
+from pathlib import Path
 from typing import Any
 
 import pyspark
@@ -16,11 +22,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions.graders import grade
-from plumbline.operators import accounting, curves, statistics
+from plumbline.operators import accounting, curves, retrieval, statistics
 from plumbline.plans import execution, generators, grid
+from plumbline.plans.identity import digest
 from plumbline.sources.tasks import load_tasks
 
 REGISTRY: dict[str, dict[str, Callable]] = {}
+ROOT = Path(__file__).resolve().parents[1]
 STAGES = ("plan", "dry_run", "execute", "analyse", "report")
 
 
@@ -91,6 +99,12 @@ def _summary(metric: str = "correct", n_boot: int = 5000, *, rows: DataFrame, by
     return statistics.summarize(rows, metric, by, n_boot=n_boot)
 
 
+@register("analysis", "retrieval")
+def _retrieval(metrics: tuple = (), n_boot: int = 5000, *, rows: DataFrame, by: list[str]) -> DataFrame:
+    named = list(metrics) or [c for c in rows.columns if c == "rr" or c.startswith(("recall@", "hit@", "ndcg@"))]
+    return retrieval.retrieval_summary(rows, by, named, n_boot=n_boot)
+
+
 @register("analysis", "value_curve")
 def _value_curve(x: str, metric: str = "correct", levels: tuple = (), log_x: bool = True, *, rows: DataFrame, by: list[str]) -> DataFrame:
     return curves.value_curves(rows, x, metric, [b for b in by if b != x], levels=levels, log_x=log_x)
@@ -116,6 +130,7 @@ class Experiment:
     prices: dict[str, float] | None = None
     max_cost: float | None = None
     tokens: tuple[float, float] = (500.0, 200.0)
+    config: dict[str, Any] | None = None
 
     def plan(self) -> DataFrame:
         spark = self.items.sparkSession
@@ -147,6 +162,7 @@ class Experiment:
             out["tables"] = {n: build("analysis", spec, rows=out["rows"], plan=plan, by=by) for n, spec in self.analyses.items()}
             for n, table in out["tables"].items():
                 table.write.mode("overwrite").parquet(f"{self.folder}/analysis/{n}")
+                write_csv(spark.read.parquet(f"{self.folder}/analysis/{n}"), f"{self.folder}/analysis/{n}.csv")
             out["job"] = accounting.job_status(plan, out["rows"]).first().asDict()
         if "report" in stages:
             self.report(out)
@@ -154,11 +170,64 @@ class Experiment:
 
     def report(self, out: dict[str, Any]) -> None:
         """Where the numbers come from, as one small JSON file."""
-        facts = {"spark": pyspark.__version__, "python": platform.python_version(), "axes": self.axes, "repeats": self.repeats, "backend": self.backend.identity, "job": out.get("job"), "dry_run": out.get("dry_run"), "halted": out.get("halted")}
+        facts = {**provenance(), "axes": self.axes, "repeats": self.repeats, "backend": self.backend.identity, "job": out.get("job"), "dry_run": out.get("dry_run"), "halted": out.get("halted")}
         folder = self.folder.removeprefix("file://")
         if "://" not in folder:
             os.makedirs(folder, exist_ok=True)
             write_atomic(f"{folder}/run.json", json.dumps(facts, indent=1, default=str))
+            if self.config is not None:
+                write_atomic(f"{folder}/config.json", json.dumps(self.config, indent=1))
+            patch = _git("diff", "HEAD")
+            if patch:
+                write_atomic(f"{folder}/changes.patch", patch)
+
+
+def write_csv(table: DataFrame, path: str) -> None:
+    """An analysis as one CSV file in a folder; arrays and structs as JSON."""
+    nested = [f.name for f in table.schema if f.dataType.typeName() in ("array", "map", "struct")]
+    flat = table.select(*[F.to_json(F.col(f"`{c}`")).alias(c) if c in nested else F.col(f"`{c}`") for c in table.columns])
+    flat.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+
+
+def _git(*args: str) -> str | None:
+    """What git says of the checkout this package is in; None outside one."""
+    try:
+        return subprocess.run(["git", *args], cwd=ROOT, capture_output=True, text=True, timeout=30, check=True).stdout
+    except (OSError, subprocess.SubprocessError):
+        return None
+
+
+def source_digest() -> str:
+    """The digest of the package's own source files."""
+    files = sorted(p for p in ROOT.rglob("*.py"))
+    return digest({str(p.relative_to(ROOT)): hashlib.sha256(p.read_bytes()).hexdigest() for p in files})
+
+
+def provenance() -> dict[str, Any]:
+    """Commit, whether it was changed, versions, the script that runs, and a digest of the code."""
+    commit, changed = _git("rev-parse", "HEAD"), _git("status", "--porcelain", "--untracked-files=no")
+    versions = {}
+    for name in ("numpy", "pandas", "pyarrow", "pyspark"):
+        try:
+            versions[name] = metadata.version(name)
+        except metadata.PackageNotFoundError:
+            versions[name] = None
+    return {"commit": commit.strip() if commit else None, "changed": bool(changed), "source": source_digest(), "script": sys.argv[0] or None, "spark": pyspark.__version__, "python": platform.python_version(), "versions": versions}
+
+
+def load_plugins(names: list[str], base: str) -> None:
+    """Import modules by name, or by the path of a .py file beside the configuration, so that they can register."""
+    for name in names:
+        if not name.endswith(".py"):
+            importlib.import_module(name)
+            continue
+        path = os.path.join(base, name)
+        if not os.path.isfile(path):
+            raise ConfigError(f"there is no plug-in {path}")
+        spec = importlib.util.spec_from_file_location(f"plumbline_plugin_{os.path.basename(name)[:-3]}", path)
+        module = importlib.util.module_from_spec(spec)
+        sys.modules[spec.name] = module
+        spec.loader.exec_module(module)
 
 
 def score_rows_column(specs: dict[str, Any]):
@@ -181,10 +250,11 @@ def from_config(spark: SparkSession, path: str) -> Experiment:
     """An experiment from a JSON file; keys that are not known are refused."""
     with open(path, encoding="utf-8") as f:
         config = json.load(f)
-    known = {"task", "backend", "axes", "exclude", "repeats", "out", "graders", "analyses", "prices", "max_cost"}
+    known = {"task", "backend", "axes", "exclude", "repeats", "out", "graders", "analyses", "prices", "max_cost", "plugins"}
     if set(config) - known or not {"task", "backend", "axes", "out"} <= set(config):
         raise ConfigError(f"unknown keys {sorted(set(config) - known)}, missing {sorted({'task', 'backend', 'axes', 'out'} - set(config))}")
-    extra = {k: config[k] for k in ("exclude", "repeats", "analyses", "prices", "max_cost") if k in config}
+    load_plugins(config.get("plugins", []), os.path.dirname(os.path.abspath(path)))
+    extra = {"config": config} | {k: config[k] for k in ("exclude", "repeats", "analyses", "prices", "max_cost") if k in config}
     return Experiment(build("task", config["task"], spark=spark), config["axes"], build("backend", config["backend"], spark=spark), config["out"], config.get("graders", {"exact": "exact", "numeric": "numeric", "yes_no": "yes_no"}), **extra)
 
 

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
+from collections.abc import Mapping
 from typing import Any
 
 import pandas as pd
@@ -72,3 +74,30 @@ def with_unit_ids(units: DataFrame) -> DataFrame:
 def shard_of(unit: Column, n: int) -> Column:
     """The stable shard of an id: 64 bits of its SHA-256 modulo n, inside the JVM."""
     return (F.conv(F.substring(F.sha2(unit, 256), 1, 16), 16, 10).cast("decimal(20,0)") % F.lit(n)).cast("int")
+
+
+def check_shard(index: int, n: int) -> tuple[int, int]:
+    if n < 1 or not 0 <= index < n:
+        raise ValueError(f"shard {index} is none of {n}")
+    return index, n
+
+
+def shard_from_env(env: Mapping[str, str] | None = None) -> tuple[int, int]:
+    """Index, from 0, and number of the tasks of a SLURM array; an array with gaps is refused."""
+    env = os.environ if env is None else env
+    names = [f"SLURM_ARRAY_TASK_{k}" for k in ("ID", "MIN", "COUNT")]
+    missing = [k for k in names if not env.get(k)]
+    if missing:
+        raise RuntimeError(f"this is no task of an array job: {', '.join(missing)} not set")
+    if int(env.get("SLURM_ARRAY_TASK_STEP") or 1) > 1:
+        raise RuntimeError("the array's indices have gaps, so they do not number shards")
+    at, low, n = (int(env[k]) for k in names)
+    return check_shard(at - low, n)
+
+
+def shard_from_k8s(n: int, env: Mapping[str, str] | None = None) -> tuple[int, int]:
+    """Index of a pod of an indexed Kubernetes job, which does not tell its pods their number."""
+    index = (os.environ if env is None else env).get("JOB_COMPLETION_INDEX", "")
+    if not index.isdecimal():
+        raise RuntimeError(f"this is no pod of an indexed job: JOB_COMPLETION_INDEX is {index!r}")
+    return check_shard(int(index), n)

@@ -21,7 +21,9 @@ def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | str) -> Da
     """
     fields = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
     whole = T.StructType([*fields, T.StructField(BAD, T.StringType())])
-    return spark.read.schema(whole).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", BAD).json(path)
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": BAD}
+    return lines.select(F.from_json("value", whole, options).alias("r")).select("r.*")
 
 
 def count_bad(records: DataFrame) -> DataFrame:
@@ -110,6 +112,42 @@ def merge_shards(shards: Sequence[DataFrame]) -> DataFrame:
     return out
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
+def content_mark(lines: DataFrame) -> DataFrame:
+    """One row: number of lines and two sums of their hashes, whatever their order."""
+    h = lambda *x: F.coalesce(F.sum(F.xxhash64("value", *x).cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)"))
+    return lines.agg(F.count("*").alias("n"), h().alias("s"), h(F.lit(1)).alias("u"))
+
+
+def combine_shards(spark: SparkSession, path: str, n: int, schema: T.StructType | str, order: Sequence[str] = ("seq",)) -> str:
+    """Write the lines of n shards of ``path`` as one sink there, and the first record of each planned unit beside it.
+
+    A marker beside the sink holds its content mark. What is no earlier merge, or has changed since,
+    is not overwritten; units in two shards are refused, shards that are not there are not.
+    """
+    mark = companion(path, "merged")
+    if _exists(spark, path):
+        if not _exists(spark, mark):
+            raise FileExistsError(f"{path} was not made by a merge and is left as it is")
+        if content_mark(spark.read.text(path)).first() != spark.read.schema("n bigint, s decimal(38,0), u decimal(38,0)").json(mark).first():
+            raise FileExistsError(f"{path} has changed since its merge and is left as it is")
+    there = [p for p in (shard_path(path, i, n) for i in range(n)) if _exists(spark, p)]
+    if not there:
+        raise FileNotFoundError(f"{path} has none of {n} shards")
+    merge_shards([to_frame(read_jsonl(spark, p, schema), order) for p in there])
+    spark.read.text(there).write.mode("overwrite").text(path)
+    plans = [p for p in (companion(s, "manifest") for s in there) if _exists(spark, p)]
+    if plans:
+        lines = spark.read.text(plans).withColumn("unit_id", F.get_json_object("value", "$.unit_id")).withColumn("_at", F.monotonically_increasing_id())
+        first_rows(lines, "unit_id", ("_at",)).select("value").write.mode("overwrite").text(companion(path, "manifest"))
+    content_mark(spark.read.text(path)).write.mode("overwrite").json(mark)
+    return path
+
+
 def shard_path(path: str, index: int, n: int) -> str:
     """``run.jsonl`` becomes ``run.shard-003-of-016.jsonl``; the index is padded to the width of n."""
     if not 0 <= index < n:
