@@ -55,22 +55,25 @@ def longest_match(candidates: DataFrame, reference: DataFrame, max_n: int = 64,
     """name, ``longest_match`` up to ``max_n`` and whether the cap was reached.
 
     A shared run of n has shared runs of every shorter length, so each candidate's length is found
-    by binary search; all candidates advance together, in log2(max_n) rounds of semi joins.
+    by binary search; all candidates advance together, in log2(max_n) rounds of semi joins. All start
+    from one interval, so a round asks for few lengths, and of the reference only runs that a candidate
+    has are kept before anything is shuffled, while those of the candidates are under Spark's threshold.
     """
     size = F.length(seq) if text else F.size(seq)
     whole = reference.select(F.col(seq).alias("r"), size.alias("n"))
-    state = candidates.select(F.col(name).alias("name"), F.col(seq).alias("s"), F.lit(0).alias("lo"), F.least(F.lit(max_n), F.greatest(F.lit(0), F.coalesce(size, F.lit(0)))).alias("hi"))
+    state = candidates.select(F.col(name).alias("name"), F.col(seq).alias("s"), F.lit(0).alias("lo"), F.lit((1 << max_n.bit_length()) - 1).alias("hi"))
     state = saved(state, "longest")
     for _ in range(max_n.bit_length()):
         state = state.withColumn("mid", F.floor((F.col("lo") + F.col("hi") + 1) / 2).cast("int"))
-        mine = state.where("lo < hi").select("name", "mid", F.explode(_hashed("s", F.col("mid"), text)).alias("g"))
+        mine = saved(state.where("lo < hi").select("name", "mid", F.explode(_hashed("s", F.col("mid"), text)).alias("g")), "candidate-grams")
         lengths = state.where("lo < hi").select("mid").distinct()  # at most max_n numbers
         theirs = whole.join(F.broadcast(lengths), F.col("mid") <= F.col("n")).select("mid", F.explode(_hashed("r", F.col("mid"), text)).alias("g"))
-        hit = mine.join(saved(theirs.distinct(), "reference-grams"), ["mid", "g"], "left_semi").select("name").distinct().withColumn("hit", F.lit(True))
+        theirs = saved(theirs.join(saved(mine.select("mid", "g").distinct(), "asked-grams"), ["mid", "g"], "left_semi").distinct(), "reference-grams")
+        hit = mine.join(theirs, ["mid", "g"], "left_semi").select("name").distinct().withColumn("hit", F.lit(True))
         state = state.join(hit, "name", "left")
         yes, open_ = F.coalesce("hit", F.lit(False)), F.col("lo") < F.col("hi")
         state = saved(state.select("name", "s", F.when(open_ & yes, F.col("mid")).otherwise(F.col("lo")).alias("lo"), F.when(open_ & ~yes, F.col("mid") - 1).otherwise(F.col("hi")).alias("hi")), "longest")
-    return state.select("name", F.col("lo").alias("longest_match"), (F.col("lo") >= max_n).alias("capped"))
+    return state.select("name", F.least("lo", F.lit(max_n)).alias("longest_match"), (F.col("lo") >= max_n).alias("capped"))
 
 
 def contamination_report(candidates: DataFrame, reference: DataFrame, control: DataFrame | None = None, ns: Sequence[int] = (8, 16), max_n: int = 64, seq: str = "seq", name: str = "name", text: bool = True) -> DataFrame:

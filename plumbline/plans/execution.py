@@ -150,7 +150,7 @@ def _call(backend: Backend, columns: Sequence[str], batch_size: int, attempts: i
                 if len(answers) != len(requests):
                     answers = [{"error": "missing: the backend answered another number of requests"}] * len(requests)
                 each = (time.time() - began) / len(requests)
-                parts += [{k: a.get(k) for k in ("text", "error", "in_tokens", "out_tokens")} | {"truncated": bool(a.get("truncated")), "tool_error": bool(a.get("tool_error")), "latency_s": each} for a in answers]
+                parts += [{k: a.get(k) for k in ("text", "error", "in_tokens", "out_tokens")} | {"truncated": bool(a.get("truncated")), "tool_error": bool(a.get("tool_error")), "latency_s": each, "retry_reasons": [], "retry_waits": [], "server_waits": []} for a in answers]
                 told = [list(x) for x in zip(*tries)] or [[], [], []]
                 parts[-len(answers)] |= dict(zip(("retry_reasons", "retry_waits", "server_waits"), told))  # once per batch
             answered = pd.DataFrame(parts, columns=[c.split(" ")[0] for c in f"{ANSWER}, {RETRY}".split(", ")], index=pdf.index)

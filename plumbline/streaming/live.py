@@ -56,6 +56,8 @@ def run_ends(events: DataFrame, silence: str = "10 minutes", delay: str = "10 mi
     def step(own: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         first, last, units, ended = state.getOption or (None, None, 0, False)
         for pdf in frames:
+            if pdf.empty:  # the call that a timeout makes
+                continue
             low, high = int(pdf["t"].min().value // 1000), int(pdf["t"].max().value // 1000)
             first, last = min(low, first if first is not None else low), max(high, last if last is not None else high)
             units += int((pdf["event"] == "unit").sum())
