@@ -201,7 +201,8 @@ def fit(stats: DataFrame, labels: DataFrame, settings: Settings | None = None, h
     model = Model(mean, np.where(spread > 1e-9, spread, 1.0), turns, rng.uniform(0, 2 * np.pi, settings.features), np.zeros(0))
     known = only(labels, "doc_id", "quality").select("doc_id", F.col("quality").cast("int").alias("quality")).where("doc_id is not null and quality in (0, 1)")
     rows = written(stats.join(known, "doc_id").withColumn("fold", fold_of(F.col("doc_id"))).where(F.col("fold") != held_out), "labelled")
-    counts = {(r["fold"] == calibrate, r["quality"]): r["n"] for r in rows.groupBy("fold", "quality").agg(F.count("*").alias("n")).groupBy((F.col("fold") == calibrate).alias("fold"), "quality").agg(F.sum("n").alias("n")).collect()}
+    aside = (F.col("fold") == calibrate).alias("aside")
+    counts = {(r["aside"], r["quality"]): r["n"] for r in rows.groupBy(aside, "quality").agg(F.count("*").alias("n")).collect()}
     total, ones = sum(counts.values()), sum(n for (_, q), n in counts.items() if q == 1)
     if not 0 < ones < total:
         model.constant = ones / total if total else 0.5
