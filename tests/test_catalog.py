@@ -43,7 +43,7 @@ def test_query_equals_its_statement(spark, duck, name):
     assert mine == theirs
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES) - {"longest_match", "contamination_report"}))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES) ))
 def test_other_queries_run(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
 
@@ -68,6 +68,17 @@ def test_entry_file_without_the_subpackage(tmp_path):
     subprocess.run([sys.executable, "-B", "-c", code], cwd=tmp_path, check=True, timeout=120, env=os.environ | {"PYTHONPATH": str(tmp_path)})
 
 
+def test_entry_file_does_not_hide_a_broken_operator(tmp_path):
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    os.symlink(f"{root}/__spark_entry__.py", tmp_path / "__spark_entry__.py")
+    _copy(f"{root}/plumbline", tmp_path / "plumbline")
+    (tmp_path / "plumbline" / "llm").mkdir()
+    (tmp_path / "plumbline" / "llm" / "__init__.py").write_text("")
+    (tmp_path / "corpus_pipeline.py").write_text("import no_such_module_here\n")
+    done = subprocess.run([sys.executable, "-B", "-c", "import __spark_entry__"], cwd=tmp_path, capture_output=True, text=True, timeout=120, env=os.environ | {"PYTHONPATH": str(tmp_path)})
+    assert done.returncode and "no_such_module_here" in done.stderr
+
+
 def _copy(source, target):
     import shutil
 
