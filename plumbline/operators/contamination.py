@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -59,23 +61,60 @@ def longest_match(candidates: DataFrame, reference: DataFrame, max_n: int = 64,
     from one interval, so a round asks for few lengths, and of the reference only runs that a candidate
     has are kept before anything is shuffled, while those of the candidates are under Spark's threshold.
     """
-    size = F.length(seq) if text else F.size(seq)
-    whole = reference.select(F.col(seq).alias("r"), size.alias("n"))
-    state = candidates.select(F.col(name).alias("name"), F.col(seq).alias("s"), F.lit(0).alias("lo"), F.lit((1 << max_n.bit_length()) - 1).alias("hi"))
+    whole = saved(reference.select(_codes(seq, text).alias("codes")).where(F.size("codes") > 0), "reference-codes")
+    state = candidates.select(F.col(name).alias("name"), _codes(seq, text).alias("codes"), F.lit(0).alias("lo"), F.lit((1 << max_n.bit_length()) - 1).alias("hi"))
     state = saved(state, "longest")
     for _ in range(max_n.bit_length()):
         state = state.withColumn("mid", F.floor((F.col("lo") + F.col("hi") + 1) / 2).cast("int"))
-        mine = saved(state.where("lo < hi").select("name", "mid", F.explode(_hashed("s", F.col("mid"), text)).alias("g")), "candidate-grams")
-        lengths = state.where("lo < hi").select("mid").distinct()  # at most max_n numbers
-        theirs = whole.join(F.broadcast(lengths), F.col("mid") <= F.col("n")).select("mid", F.explode(_hashed("r", F.col("mid"), text)).alias("g"))
-        theirs = saved(theirs.join(saved(mine.select("mid", "g").distinct(), "asked-grams"), ["mid", "g"], "left_semi").distinct(), "reference-grams")
-        hit = mine.join(theirs, ["mid", "g"], "left_semi").select("name").distinct().withColumn("hit", F.lit(True))
+        mine = saved(_runs_of(state.where("lo < hi").select("name", "codes", F.array("mid").alias("lengths")), ["name"]), "candidate-runs")
+        lengths = [r["mid"] for r in state.where("lo < hi").select("mid").distinct().collect()]  # at most max_n numbers
+        theirs = _runs_of(whole.withColumn("lengths", F.array(*[F.lit(n) for n in lengths]).cast("array<int>")), [])
+        theirs = saved(theirs.join(saved(mine.select("n", "g").distinct(), "asked-runs"), ["n", "g"], "left_semi").distinct(), "reference-runs")
+        hit = mine.join(theirs, ["n", "g"], "left_semi").select("name").distinct().withColumn("hit", F.lit(True))
         state = state.join(hit, "name", "left")
         yes, open_ = F.coalesce("hit", F.lit(False)), F.col("lo") < F.col("hi")
-        state = saved(state.select("name", "s", F.when(open_ & yes, F.col("mid")).otherwise(F.col("lo")).alias("lo"), F.when(open_ & ~yes, F.col("mid") - 1).otherwise(F.col("hi")).alias("hi")), "longest")
+        state = saved(state.select("name", "codes", F.when(open_ & yes, F.col("mid")).otherwise(F.col("lo")).alias("lo"), F.when(open_ & ~yes, F.col("mid") - 1).otherwise(F.col("hi")).alias("hi")), "longest")
     return state.select("name", F.least("lo", F.lit(max_n)).alias("longest_match"), (F.col("lo") >= max_n).alias("capped"))
 
 
+def _codes(seq: str, text: bool) -> Column:
+    """A 64-bit hash per element, or per character of a string; NULL and empty sequences have none."""
+    if not text:
+        return F.transform(seq, lambda x: F.xxhash64(x))
+    return F.transform(F.when(F.length(seq) > 0, F.sequence(F.lit(1), F.length(seq))), lambda i: F.xxhash64(F.substring(F.col(seq), i, F.lit(1))))
+
+
+def _runs_of(df: DataFrame, keep: Sequence[str]) -> DataFrame:
+    """keep, n and the distinct hashes g of a row's runs of n codes, for each n in ``lengths``.
+
+    A run's hash is a difference of prefix sums of codes times powers of an odd number, shifted back
+    by a power of its inverse, so every length costs one pass over the codes.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        odd, inverse, mask = 0xD6E8FEB86659FD93, pow(0xD6E8FEB86659FD93, -1, 1 << 64), (1 << 64) - 1
+        for batch in batches:
+            for i in range(batch.num_rows):
+                codes, lengths = batch.column("codes")[i].values, batch.column("lengths")[i].as_py()
+                if codes is None or not len(codes) or not lengths:
+                    continue
+                value = codes.to_numpy(zero_copy_only=False).view(np.uint64)
+                with np.errstate(over="ignore"):
+                    power = np.cumprod(np.full(len(value), odd, np.uint64)) * np.uint64(inverse & mask)  # odd ** i
+                    back = np.cumprod(np.full(len(value), inverse, np.uint64)) * np.uint64(odd)  # inverse ** i
+                    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(value * power)])
+                    found = [np.unique((sums[n:] - sums[:-n]) * back[: len(value) - n + 1]) for n in lengths if 0 < n <= len(value)]
+                if found:
+                    sizes = [len(f) for f in found]
+                    fit = [n for n in lengths if 0 < n <= len(value)]
+                    own = [pa.repeat(batch.column(c)[i], sum(sizes)) for c in keep]
+                    yield pa.RecordBatch.from_arrays([*own, pa.array(np.repeat(np.array(fit, np.int32), sizes)), pa.array(np.concatenate(found).view(np.int64))], names=[*keep, "n", "g"])
+
+    head = "".join(f"`{c}` {kinds[c]}, " for c in keep)
+    return df.select(*keep, "codes", "lengths").mapInArrow(run, f"{head}n int, g bigint")
+
+
 def contamination_report(candidates: DataFrame, reference: DataFrame, control: DataFrame | None = None, ns: Sequence[int] = (8, 16), max_n: int = 64, seq: str = "seq", name: str = "name", text: bool = True) -> DataFrame:
     """Overlaps and longest match per candidate, and what exceeds the control's row.
 
