@@ -235,3 +235,55 @@ def test_statements_draw_the_same_weights(spark):
     want = S.poisson_weights(np.array([r.h for r in rows], np.int64).view(np.uint64), np.arange(40, dtype=np.uint64), 11)
     found = duckdb.sql(f"SELECT k, b, w FROM {H.poisson_weights('(SELECT unnest(' + str(keys) + ')::BIGINT AS k)', 'k', 40, 11)} ORDER BY b, k").fetchall()
     assert [w for _, _, w in found] == want.ravel().astype(int).tolist()
+
+
+def test_a_backend_behind_http():
+    import http.server
+    import threading
+
+    from plumbline.plans import http as W
+
+    seen = []
+
+    class Server(http.server.BaseHTTPRequestHandler):
+        def do_POST(self):
+            body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            seen.append((body, self.headers.get("Authorization")))
+            said = body["messages"][-1]["content"]
+            code = {"busy": 429, "bad": 400}.get(said, 200) if len(seen) < 9 else 200
+            reply = json.dumps({"choices": [{"message": {"content": said.upper()}, "finish_reason": "length"}], "usage": {"prompt_tokens": 3, "completion_tokens": 1}} if code == 200 else {"error": "no"}).encode()
+            self.send_response(code)
+            self.send_header("x-ratelimit-limit-requests", "60")
+            if code == 429:
+                self.send_header("retry-after", "2")
+            self.end_headers()
+            self.wfile.write(reply)
+
+        def log_message(self, *_):
+            pass
+
+    server = http.server.HTTPServer(("127.0.0.1", 0), Server)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        back = W.HTTPBackend(f"http://127.0.0.1:{server.server_port}/v1/chat/completions", "m", ("temperature",), timeout=10.0)
+        assert back.complete([{"prompt": "hi", "temperature": 0.5}]) == [{"text": "HI", "truncated": True, "in_tokens": 3, "out_tokens": 1, "logprobs": None}]
+        assert seen[0] == ({"model": "m", "messages": [{"role": "user", "content": "hi"}], "temperature": 0.5}, None) and back.limits == {"requests": 60.0}
+        with pytest.raises(X.Transient) as busy:
+            back.complete([{"prompt": "busy"}])
+        assert busy.value.wait == 2.0
+        assert X.with_retries(lambda: back.complete([{"prompt": "bad"}]), 1)[0]["error"].startswith("Fatal: HTTP 400")
+    finally:
+        server.shutdown()
+        server.server_close()
+    assert X.with_retries(lambda: back.complete([{"prompt": "gone"}]), 1, attempts=2, sleep=lambda s: None)[0]["error"].startswith("Transient")
+    tool = {"name": "add", "description": "d", "parameters": {}}
+    body = W.chat_body("m", [{"role": "assistant", "content": None, "tool_calls": [{"id": "1", "name": "add", "arguments": {"a": 1}}]}, {"role": "tool", "tool_call_id": "1", "content": "1"}], {"max_tokens": 5, "tool_choice": "add", "top_p": None}, [tool], budget="max_completion_tokens")
+    assert body["max_completion_tokens"] == 5 and "top_p" not in body and body["messages"][0]["tool_calls"][0]["function"]["arguments"] == '{"a": 1}' and body["tool_choice"]["function"]["name"] == "add"
+    with pytest.raises(X.Fatal, match="top_k"):
+        W.chat_body("m", [], {"top_k": 3})
+    with pytest.raises(X.Fatal, match="no tool"):
+        W.chat_body("m", [], {"tool_choice": "x"}, [tool])
+    calls = W.parse_chat({"choices": [{"message": {"tool_calls": [{"id": "1", "type": "function", "function": {"name": "add", "arguments": '{"a": 2}'}}]}, "finish_reason": "tool_calls"}]})
+    assert calls["tool_calls"] == [{"id": "1", "name": "add", "arguments": {"a": 2}}] and not calls["truncated"]
+    with pytest.raises(X.Fatal):
+        W.parse_chat({})
