@@ -1,4 +1,12 @@
-"""The corpus pipeline: rules, near-duplicates, decontamination, secrets and packing."""
+"""The corpus pipeline: rules, near-duplicates, decontamination, secrets and packing.
+
+Every stage but the last returns the columns of ``docs``, whatever their names, in their order.
+
+Defined results: a null, empty or blank text has fewer than 20 words and goes in the first stage; null
+ids are ids of their own and their rows are kept like others; of rows that repeat a document, or a
+near copy of it, the one with the least id stays, null ids last; texts of any length are read whole; a
+benchmark item without words, or a null one, drops nothing; an empty table gives no rows at any stage.
+"""
 
 from __future__ import annotations
 
