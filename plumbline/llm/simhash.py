@@ -420,6 +420,8 @@ def components(links: DataFrame, most: int = 60) -> DataFrame:
         return written(out.where("a <> b").distinct(), "stars")
 
     edges, before = links.select("a", "b"), None
+    if edges.isEmpty():
+        return edges.selectExpr("a AS node", "a AS class")
     for _ in range(most):
         edges = star(star(edges, True), False)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
@@ -442,8 +444,6 @@ def _of_classes(pairs: DataFrame, found: DataFrame) -> DataFrame:
 def _zones(refused: DataFrame, found: DataFrame) -> DataFrame:
     """node, cls and zone of nodes around refused candidates, where more than one pair is open."""
     near = written(_of_classes(refused, found), "refused")
-    if near.isEmpty():
-        return near.selectExpr("a AS node", "a AS cls", "a AS zone")
     zones = components(near).select(F.col("node").alias("class"), F.col("class").alias("zone"))
     linked = found.join(zones, "class").select("node", F.col("class").alias("cls"), "zone")
     alone = zones.join(found, "class", "left_anti").select(F.col("class").alias("node"), F.col("class").alias("cls"), "zone")
@@ -460,6 +460,8 @@ def find_classes(docs: DataFrame, nodes: DataFrame, tables: Tables) -> DataFrame
     tested = verify_pairs(pairs, sets, tables)
     found = written(components(tested.where("near")), "classes")
     open_ = _zones(tested.where("NOT near"), found)
+    if open_.isEmpty():
+        return found
     columns = ("node", "cls", "zone", *SIG)
     entries = open_.join(nodes.select("node", *SIG), "node").select(*columns).mapInArrow(_entries(tables, columns), f"key bigint, more bigint, node bigint, cls bigint, zone bigint, {SIGNS}")
     rest = candidate_pairs(entries.withColumn("key", F.xxhash64("key", "zone")).drop("zone"), tables, None)

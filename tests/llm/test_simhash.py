@@ -188,7 +188,7 @@ def test_texts_of_one_shingle_set_are_one_node(spark):
     assert got == {i: 0 for i in range(40)} | {50: 50, 51: 51, 52: 50, 53: 53}
 
 
-@pytest.mark.parametrize("kind", ["string", "smallint", "int", "date"])
+@pytest.mark.parametrize("kind", ["string", "smallint", "date"])
 def test_ids_of_other_types(spark, kind):
     make = {"string": lambda i: f"d{i}", "date": lambda i: datetime.date(2020, 1, 1 + i)}.get(kind, int)
     rows = [(make(i), t) for i, t in enumerate(["a b c d e f", "a b c d e  f", "x y z"])] + [(None, "x y z"), (None, "q")]
