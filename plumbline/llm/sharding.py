@@ -22,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import any_names, only, written
+from .common import any_names, let, only, written
 
 OVERHEAD = 16
 PARTS = ("k0", "k1", "k2")
@@ -78,19 +78,22 @@ def _round(slim: DataFrame, spots: list[tuple[tuple[int, ...], int, int]], bits:
     spots = sorted(spots, key=lambda x: _whole((*x[0], x[1]), LOW))
     starts = [Limit(_whole((*fixed, low), LOW)) for fixed, low, _ in spots]
     ends = [_whole((*fixed, high), HIGH) for fixed, _, high in spots]
-    of_spot = lambda values: F.get(F.array(*[F.lit(v).cast("bigint") for v in values]), F.col("spot"))
-    level = of_spot([len(fixed) for fixed, _, _ in spots])
-    value = F.when(level == 0, F.col("k0")).when(level == 1, F.col("k1")).otherwise(F.col("k2"))
-    a, b, c = (F.col(p) for p in PARTS)
-    x, y, z = (of_spot([e[i] for e in ends]) for i in range(3))
-    inside = (a < x) | ((a == x) & ((b < y) | ((b == y) & (c <= z))))
-    # unsigned distance from low, exact in decimals
-    distance = F.col("value").cast("decimal(20,0)") - of_spot([low for _, low, _ in spots]).cast("decimal(20,0)")
     widths = [max(1, -(-(high - low + 1) >> bits)) for _, low, high in spots]
-    width = F.get(F.array(*[F.lit(w).cast("decimal(20,0)") for w in widths]), F.col("spot"))
+    wide = "decimal(20,0)"  # unsigned distances of 64 bits are exact in it
+
+    def hit(spot: Column) -> Column:
+        """The row's spot, bound once, with its candidate and key component; NULL outside all spots."""
+        of_spot = lambda values, kind="bigint": F.get(F.array(*[F.lit(v).cast(kind) for v in values]), spot)
+        a, b, c = (F.col(p) for p in PARTS)
+        x, y, z = (of_spot([e[i] for e in ends]) for i in range(3))
+        inside = (a < x) | ((a == x) & ((b < y) | ((b == y) & (c <= z))))
+        level = of_spot([len(fixed) for fixed, _, _ in spots])
+        value = F.when(level == 0, a).when(level == 1, b).otherwise(c)
+        cell = F.floor((value.cast(wide) - of_spot([low for _, low, _ in spots]).cast(wide)) / of_spot(widths, wide)).cast("int")
+        return F.when((spot >= 0) & inside, F.struct(spot.alias("spot"), cell.alias("cell"), value.alias("value")))
+
     counted = (
-        slim.select("size", *PARTS, (_shard(starts, 0, len(starts)) - 1).alias("spot")).where((F.col("spot") >= 0) & inside)
-        .select("size", "spot", value.alias("value")).withColumn("cell", F.floor(distance / width).cast("int"))
+        slim.select("size", let(_shard(starts, 0, len(starts)) - 1, hit).alias("hit")).where("hit IS NOT NULL").select("size", "hit.*")
         .groupBy("spot", "cell").agg(F.sum("size").alias("bytes"), F.min("value").alias("lo"), F.max("value").alias("hi"))
     )
     found: dict[int, list] = {}
