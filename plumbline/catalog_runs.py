@@ -103,7 +103,7 @@ def combined_shards(spark, sf):
 @query("SELECT item_id::VARCHAR AS id, text AS prompt, 'exact' AS grader, upper(text[1:3]) AS gold FROM benchmark")
 def tasks_round_trip(spark, sf):
     path = fresh(spark, "tasks") + ".jsonl"
-    items = table(spark, sf, "benchmark").select(F.col("item_id").cast("string").alias("id"), F.col("text").alias("prompt"), F.lit("exact").alias("grader"), F.upper(F.left("text", F.lit(3))).alias("gold"))
+    items = table(spark, sf, "benchmark").select(F.col("item_id").cast("string").alias("id"), F.col("text").alias("prompt"), F.lit("exact").alias("grader"), X.upper(F.left("text", F.lit(3))).alias("gold"))
     tasks.save_tasks(items, path)
     return tasks.load_tasks(spark, path).select("id", "prompt", "grader", "gold")
 

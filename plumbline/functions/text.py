@@ -15,6 +15,16 @@ def normalize(s: Column, case: bool = False, punct: bool = False) -> Column:
     return F.trim(F.regexp_replace(s, r"(?U)\s+", " "))
 
 
+#: Characters whose capital is one character in SQL and two in Java; ligatures and the like have no capital of one.
+_OWN_CAPITAL = {"ß": "ẞ", "ᾳ": "ᾼ", "ῃ": "ῌ", "ῳ": "ῼ"} | {chr(c): chr(c + 8) for a in (0x1F80, 0x1F90, 0x1FA0) for c in range(a, a + 8)}
+
+
+def upper(s: Column) -> Column:
+    """Capitals as SQL has them, one for one: the length stays, ``ß`` is ``ẞ`` and not ``SS``."""
+    one = lambda c: F.when(F.length(F.upper(c)) == 1, F.upper(c)).otherwise(F.translate(c, "".join(_OWN_CAPITAL), "".join(_OWN_CAPITAL.values())))
+    return F.array_join(F.transform(F.regexp_extract_all(s, F.lit("(?s)."), F.lit(0)), one), "")
+
+
 def error_kind(message: Column) -> Column:
     """A message with its numbers and long hexadecimal ids masked, cut to 160."""
     return F.left(F.regexp_replace(message, r"\b[a-f0-9]{12,}\b|[0-9]+(?:[.][0-9]+)?", "#"), F.lit(160))
